@@ -72,20 +72,26 @@ class Pair:
 
 
 #: Tokens of the spans whose length-normalised likelihoods are compared, besides the whole text.
-SPANS = (4, 16, 64)
+SPANS = (1, 4, 16, 64)
+#: Log-ratios beyond which a token alone is evidence.
+LEVELS = (1.0, 2.0, 3.0)
 
 
 def features(ratio: np.ndarray) -> np.ndarray:
-    """Length-normalised log-likelihood differences: of the whole text, and the largest of any
-    span of 4, 16 and 64 tokens (a shorter text counts as one span, padded by neutral tokens)."""
+    """Length-normalised log-likelihood differences: of the whole text, the largest of any
+    span of SPANS tokens (a shorter text counts as one span, padded by neutral tokens), and
+    what tokens beyond LEVELS add, per token and (logarithm) in all."""
     n = len(ratio)
     if not n:
-        return np.zeros(2 + len(SPANS))
+        return np.zeros(1 + len(SPANS) + 2 * len(LEVELS))
     total = np.concatenate(([0.0], np.cumsum(ratio)))
     out = [total[-1] / n]
     for k in SPANS:
         out.append((total[k:] - total[:-k]).max() / k if n >= k else total[-1] / k)
-    return np.array([*out, np.log1p(n)])
+    for level in LEVELS:
+        over = np.maximum(ratio - level, 0).sum()
+        out += [over / n, np.log1p(over)]
+    return np.array(out)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
