@@ -1,4 +1,192 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Times are given as microseconds, money as doubles, and computed doubles rounded to six places,
+so that both engines' values compare exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import gate, incremental, merchants, reconcile, silver, velocity
+from .plans import reports
+from .sources.events import bronze, duckdb_bronze
+
+AS_OF = "2024-01-31 00:00:00"
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """The frame with portable types."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        if kind == "timestamp":
+            c = F.unix_micros(c)
+        elif kind.startswith("decimal") or kind == "double":
+            c = F.round(c.cast("double"), 6)
+        elif kind.startswith("array"):
+            c = F.array_join(c, ",")
+        elif kind in ("tinyint", "int"):
+            c = c.cast("bigint")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+class Tables:
+    """The lakehouse's tables over one data folder, as lazy frames."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.bronze = bronze(spark, sf_dir)
+        self.auths, self.settlements = silver.authorizations(self.bronze), silver.settlements(self.bronze)
+        self.quarantine = silver.quarantine(self.bronze, AS_OF)
+        self.recon = reconcile.reconcile(self.auths, self.settlements, AS_OF)
+        self.features = velocity.card_velocity_features(self.auths)
+        self.flags = velocity.rule_flags(self.features)
+
+
+def incremental_load(t: Tables) -> DataFrame:
+    """Silver after the first batch, then the rows above its watermark merged in."""
+    first = t.auths.where("_source_file = 'batch_1.parquet'")
+    return incremental.upsert(first, incremental.newer(t.auths, first), "transaction_id").groupBy("_source_file").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+
+
+def quarantine_reasons(t: Tables) -> DataFrame:
+    return t.quarantine.select(F.explode("quarantine_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def not_dropped(t: Tables) -> DataFrame:
+    """Bronze rows with an id that reached none of the three tables, by three anti-joins."""
+    left = t.bronze.where("transaction_id is not null").select("transaction_id")
+    for other in (t.auths, t.settlements, t.quarantine):
+        left = left.join(other.select("transaction_id"), "transaction_id", "left_anti")
+    return left.agg(F.count("*").alias("dropped"))
+
+
+def orphans_in_quarantine(t: Tables) -> DataFrame:
+    """Orphan settlements: whether their authorization is in quarantine."""
+    q = t.quarantine.where("transaction_id is not null").select(F.col("transaction_id").alias("q_id")).distinct()
+    o = t.recon.where("recon_status = 'ORPHAN_SETTLEMENT'").select(F.col("recon_key").alias("transaction_id")).join(t.settlements.select("transaction_id", "auth_transaction_id"), "transaction_id")
+    return o.join(q, F.col("auth_transaction_id") == F.col("q_id"), "left").groupBy(F.col("q_id").isNotNull().alias("auth_quarantined")).agg(F.count("*").alias("n"))
+
+
+SPARK = {
+    "bronze_events": lambda t: t.bronze,
+    "silver_authorizations": lambda t: t.auths,
+    "silver_settlements": lambda t: t.settlements,
+    "quarantine": lambda t: t.quarantine.drop("quarantine_key", "amount"),
+    "quarantine_reasons": quarantine_reasons,
+    "reconciliation": lambda t: t.recon,
+    "velocity_features": lambda t: t.features,
+    "rule_flags": lambda t: t.flags.select("transaction_id", "rule_velocity", "rule_geo", "rule_amount", "any_rule", "rules_fired"),
+    "merchants_current": lambda t: merchants.merchants_current(t.auths),
+    "merchant_history": lambda t: merchants.merchant_history(t.auths),
+    "merchant_as_of": lambda t: merchants.as_of(t.auths, merchants.merchant_history(t.auths)).groupBy("merchant_id", "version_name").agg(F.count("*").alias("n")),
+    "quality_gate": lambda t: gate.gate(t.recon, t.features),
+    "recon_distribution": lambda t: reports.distribution(t.recon),
+    "break_summary": lambda t: reports.break_summary(t.recon),
+    "recall_by_type": lambda t: reports.recall_by_type(t.flags),
+    "rule_confusion": lambda t: reports.confusion(t.flags),
+    "daily_volume": lambda t: reports.daily_volume(t.auths, t.settlements),
+    "daily_quarantine": lambda t: reports.daily_quarantine(t.auths, t.settlements, t.quarantine),
+    "latest_flagged": lambda t: reports.latest_flagged(t.flags),
+    "incremental_load": incremental_load,
+    "no_rows_dropped": not_dropped,
+    "orphans_in_quarantine": orphans_in_quarantine,
+}
+
+
+def registered(build):
+    return lambda spark, sf_dir: flat(build(Tables(spark, sf_dir)))
+
+
+QUERIES = {name: registered(build) for name, build in SPARK.items()}
+
+#: The same tables in DuckDB.
+_COMMON = "merchant_id, merchant_name, mcc, mcc_description, cast(amount as decimal(12,2)) as amount, currency, country"
+_REASONS = """list_filter([
+  case when transaction_id is null then 'NULL_TRANSACTION_ID' end, case when card_id is null then 'NULL_CARD_ID' end,
+  case when amount is null or amount <= 0 then 'NONPOSITIVE_AMOUNT' end,
+  case when currency is null or currency not in ('SGD','MYR','IDR','THB','USD','GBP','AUD') then 'UNKNOWN_CURRENCY' end,
+  case when try_cast(event_time as timestamp) is null then 'UNPARSEABLE_EVENT_TIME' end,
+  case when event_type is null or event_type not in ('AUTH','SETTLEMENT') then 'UNKNOWN_EVENT_TYPE' end], lambda v: v is not null)"""
+_CTES = {
+    "bronze": duckdb_bronze(),
+    "checked": f"select *, {_REASONS} as rs from bronze",
+    "auths": f"select transaction_id, event_type, try_cast(event_time as timestamp) as event_time, sha256(card_id) as card_id_hash, {_COMMON}, lat, lon, channel, pos_entry_mode, card_present, auth_code, _ingested_at, _source_file, is_fraud, fraud_type from checked where event_type = 'AUTH' and len(rs) = 0",
+    "settlements": f"select transaction_id, event_type, try_cast(event_time as timestamp) as event_time, auth_transaction_id, sha256(card_id) as card_id_hash, {_COMMON}, _ingested_at, _source_file, is_fraud, fraud_type from checked where event_type = 'SETTLEMENT' and len(rs) = 0",
+    "quarantine": "select * from checked where len(rs) > 0",
+    "recon0": f"""select a.transaction_id as auth_transaction_id, s.transaction_id as settlement_transaction_id, coalesce(a.transaction_id, s.transaction_id) as recon_key,
+      coalesce(a.card_id_hash, s.card_id_hash) as card_id_hash, a.amount as auth_amount, s.amount as settlement_amount, s.amount - a.amount as amount_diff,
+      cast(s.amount - a.amount as double) / nullif(a.amount, 0) as amount_diff_pct, a.event_time as auth_time, s.event_time as settlement_time,
+      date_sub('minute', a.event_time, s.event_time) as settlement_lag_minutes, a.auth_code, s.auth_transaction_id as of_auth,
+      a.event_time is not null and a.event_time <= timestamp '{AS_OF}' - interval 10080 minutes as is_matured
+      from auths a full outer join settlements s on a.transaction_id = s.auth_transaction_id""",
+    "recon1": """select *, abs(amount_diff) > 1 and abs(amount_diff_pct) > 0.10 as pct, abs(amount_diff) > 100 as over_, case
+      when auth_transaction_id is not null and auth_code <> '00' then 'AUTH_DECLINED'
+      when auth_transaction_id is not null and settlement_transaction_id is not null and ((abs(amount_diff) > 1 and abs(amount_diff_pct) > 0.10) or abs(amount_diff) > 100) then 'AMOUNT_MISMATCH'
+      when auth_transaction_id is not null and settlement_transaction_id is not null then 'MATCHED'
+      when auth_transaction_id is not null and is_matured then 'AUTH_NO_SETTLEMENT' when auth_transaction_id is not null then 'PENDING_SETTLEMENT' else 'ORPHAN_SETTLEMENT' end as recon_status from recon0""",
+    "recon": """select *, recon_status in ('AMOUNT_MISMATCH','AUTH_NO_SETTLEMENT','ORPHAN_SETTLEMENT') as is_break, case
+      when recon_status = 'AMOUNT_MISMATCH' and pct and over_ then 'PCT_AND_CEILING' when recon_status = 'AMOUNT_MISMATCH' and pct then 'PCT_EXCEEDED' when recon_status = 'AMOUNT_MISMATCH' then 'CEILING_EXCEEDED'
+      when recon_status = 'AUTH_NO_SETTLEMENT' then 'SETTLEMENT_TIMEOUT' when recon_status = 'ORPHAN_SETTLEMENT' then 'NO_MATCHING_AUTH' end as break_reason from recon1""",
+    "win": """select *, count(*) over h - 1 as n1, count(*) over d - 1 as n24, sum(amount) over d - amount as s24, count(*) over e - 1 as n, count(distinct country) over b as countries,
+      lag(u) over r as prev, lag(case when card_present then u end ignore nulls) over r as pu, lag(case when card_present then lat end ignore nulls) over r as plat, lag(case when card_present then lon end ignore nulls) over r as plon
+      from (select *, cast(floor(epoch(event_time)) as bigint) as u from auths)
+      window h as (partition by card_id_hash order by u range between 3600 preceding and current row), d as (partition by card_id_hash order by u range between 86400 preceding and current row),
+      e as (partition by card_id_hash order by u range between unbounded preceding and current row), b as (partition by card_id_hash order by u range between 86400 preceding and 1 preceding), r as (partition by card_id_hash order by u, transaction_id)""",
+    "feats": """select *, case when n24 > 0 then cast(s24 as double) / n24 end as avg24, case when card_present and pu is not null then
+      2 * 6371 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) / nullif((u - pu) / 3600.0, 0) end as speed from win""",
+    "flags": """select *, coalesce(n1 > 2, false) as rule_velocity, coalesce(speed > 1500, false) as rule_geo, coalesce(cast(amount as double) / nullif(avg24, 0) > 15, false) as rule_amount from feats""",
+    "merch": "select * from (select *, row_number() over (partition by merchant_id order by event_time desc, transaction_id desc) as rn from auths where merchant_id is not null) where rn = 1",
+    "merch1": "select * from (select *, row_number() over (partition by merchant_id order by event_time desc, transaction_id desc) as rn from auths where merchant_id is not null and _source_file = 'batch_1.parquet') where rn = 1",
+    "hist": """select o.merchant_id, o.merchant_name, o.mcc, o.mcc_description, o.country, timestamp '2024-01-16' as valid_from,
+        case when n.merchant_id is not null and (n.merchant_name is distinct from o.merchant_name or n.mcc is distinct from o.mcc) then timestamp '2024-02-01' end as valid_to from merch1 o left join merch n using (merchant_id)
+      union all select n.merchant_id, n.merchant_name, n.mcc, n.mcc_description, n.country, timestamp '2024-02-01', null from merch n left join merch1 o using (merchant_id)
+        where o.merchant_id is null or n.merchant_name is distinct from o.merchant_name or n.mcc is distinct from o.mcc""",
+}
+_MONEY = "round(cast(amount as double), 6) as amount"
+
+
+def duck(select: str) -> str:
+    return "with " + ",\n".join(f"{name} as ({sql})" for name, sql in _CTES.items()) + "\n" + select
+
+
+_ANY = "(rule_velocity or rule_geo or rule_amount)"
+_FIRED = "coalesce(nullif(concat_ws(', ', case when rule_velocity then 'velocity' end, case when rule_geo then 'geo' end, case when rule_amount then 'amount' end), ''), '-')"
+_METRICS = {
+    "recon_row_count": ("cast(count(*) as double) from recon", "o >= 1"),
+    "recon_status_invalid_count": ("cast(0 as double)", "o = 0"),
+    "matched_share_of_matured": ("sum(case when is_matured and recon_status = 'MATCHED' then 1 else 0 end) / nullif(cast(sum(case when is_matured then 1 else 0 end) as double), 0) from recon", "o between 0.6 and 0.98"),
+    "orphan_settlement_share": ("sum(case when recon_status = 'ORPHAN_SETTLEMENT' then 1 else 0 end) / nullif(cast(count(*) as double), 0) from recon", "o >= 0 and o < 0.03"),
+    "fraud_rate": ("avg(cast(is_fraud as double)) from feats", "o between 0.005 and 0.05"),
+    "p99_implied_speed_kmh_nonfraud": ("quantile_disc(case when is_fraud = 0 then speed end, 0.99) from feats", "o >= 0 and o < 900"),
+    "velocity_inversion_count": ("cast(sum(case when n24 < n1 then 1 else 0 end) as double) from feats", "o = 0"),
+}
+_GATE = " union all ".join(f"select '{k}' as expectation, o, o is null or ({test}) as passed from (select {m.replace(' from ', ' as o from ', 1) if ' from ' in m else m + ' as o'})" for k, (m, test) in _METRICS.items())
+_CONFUSION = " union all ".join(f"select '{k}' as strategy, {v} as f, is_fraud = 1 as y from flags" for k, v in (("rule_velocity", "rule_velocity"), ("rule_geo", "rule_geo"), ("rule_amount", "rule_amount"), ("any_rule", _ANY)))
+
+ORACLES = {
+    "bronze_events": duck("select * replace (round(lat, 6) as lat, round(lon, 6) as lon, round(amount, 6) as amount, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from bronze"),
+    "silver_authorizations": duck(f"select * replace (round(lat, 6) as lat, round(lon, 6) as lon, {_MONEY}, epoch_us(event_time) as event_time, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from auths"),
+    "silver_settlements": duck(f"select * replace ({_MONEY}, epoch_us(event_time) as event_time, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from settlements"),
+    "quarantine": duck(f"select * exclude (rs, card_id, amount) replace (round(lat, 6) as lat, round(lon, 6) as lon, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at), array_to_string(rs, ',') as quarantine_reasons, epoch_us(timestamp '{AS_OF}') as quarantined_at, sha256(card_id) as card_id_hash from quarantine"),
+    "quarantine_reasons": duck("select reason, count(*) as n from (select unnest(rs) as reason from quarantine) group by 1"),
+    "reconciliation": duck("select recon_key, auth_transaction_id, settlement_transaction_id, card_id_hash, round(cast(auth_amount as double), 6) as auth_amount, round(cast(settlement_amount as double), 6) as settlement_amount, round(cast(amount_diff as double), 6) as amount_diff, round(amount_diff_pct, 6) as amount_diff_pct, epoch_us(auth_time) as auth_time, epoch_us(settlement_time) as settlement_time, settlement_lag_minutes, recon_status, is_break, break_reason, is_matured from recon"),
+    "velocity_features": duck(f"select transaction_id, card_id_hash, epoch_us(event_time) as event_time, {_MONEY}, n1 as txn_count_1h, n24 as txn_count_24h, round(cast(s24 as double), 6) as amount_sum_24h, round(avg24, 6) as amount_avg_24h, round(cast(amount as double) / nullif(avg24, 0), 6) as amount_vs_avg_24h_ratio, countries as distinct_countries_24h, round((u - prev) / 60.0, 6) as minutes_since_last_txn, round(speed, 6) as implied_speed_kmh, card_present as is_card_present, channel = 'ONLINE' as is_online, mcc in ('5967','5732','4511') as is_high_risk_mcc, auth_code <> '00' as was_declined, n > 0 as has_history, cast(is_fraud as bigint) as is_fraud, fraud_type from feats"),
+    "rule_flags": duck(f"select transaction_id, rule_velocity, rule_geo, rule_amount, {_ANY} as any_rule, {_FIRED} as rules_fired from flags"),
+    "merchants_current": duck("select merchant_id, merchant_name, mcc, mcc_description, country, epoch_us(event_time) as last_seen_at from merch"),
+    "merchant_history": duck("select * replace (epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to) from hist"),
+    "merchant_as_of": duck("select a.merchant_id, h.merchant_name as version_name, count(*) as n from auths a left join hist h on a.merchant_id = h.merchant_id and a.event_time >= h.valid_from and (h.valid_to is null or a.event_time < h.valid_to) group by 1, 2"),
+    "quality_gate": duck(f"select expectation, round(o, 6) as observed, passed, min(passed) over () as overall_success from ({_GATE})"),
+    "recon_distribution": duck("select recon_status, is_break, is_matured, count(*) as n from recon group by all"),
+    "break_summary": duck("select count(*) as total, cast(sum(case when is_break then 1 else 0 end) as bigint) as breaks, round(sum(case when is_break then 1 else 0 end) / cast(count(*) as double), 6) as break_rate from recon"),
+    "recall_by_type": duck(f"select fraud_type, count(*) as n, round(avg(case when {_ANY} then 1.0 else 0.0 end), 6) as rules_recall from flags where is_fraud = 1 group by 1"),
+    "rule_confusion": duck(f"select *, round(tp / nullif(cast(tp + fp as double), 0), 6) as precision, round(tp / nullif(cast(tp + fn as double), 0), 6) as recall, round(fp / nullif(cast(fp + tn as double), 0), 6) as fpr from (select strategy, count(*) filter (f and y) as tp, count(*) filter (f and not y) as fp, count(*) filter (not f and y) as fn, count(*) filter (not f and not y) as tn from ({_CONFUSION}) group by 1)"),
+    "daily_volume": duck("select cast(cast(event_time as date) as varchar) as day, event_type, count(*) as n from (select event_time, event_type from auths union all select event_time, event_type from settlements) group by 1, 2"),
+    "daily_quarantine": duck("select day, coalesce(c, 0) as clean, coalesce(b, 0) as quarantined, round(coalesce(b, 0) / cast(coalesce(b, 0) + coalesce(c, 0) as double), 6) as quarantine_rate from (select cast(cast(_ingested_at as date) as varchar) as day, count(*) as c from (select _ingested_at from auths union all select _ingested_at from settlements) group by 1) x full outer join (select cast(cast(_ingested_at as date) as varchar) as day, count(*) as b from quarantine group by 1) y using (day)"),
+    "latest_flagged": duck(f"select transaction_id, substr(card_id_hash, 1, 12) as card, {_FIRED} as rules_fired, coalesce(fraud_type, '-') as fraud_type from flags where {_ANY} order by event_time desc, transaction_id desc limit 50"),
+    "incremental_load": duck("select _source_file, count(*) as n, round(cast(sum(amount) as double), 6) as amount from auths group by 1"),
+    "no_rows_dropped": duck("select count(*) as dropped from bronze b where transaction_id is not null and transaction_id not in (select transaction_id from auths) and transaction_id not in (select transaction_id from settlements) and transaction_id not in (select transaction_id from quarantine where transaction_id is not null)"),
+    "orphans_in_quarantine": duck("select q.transaction_id is not null as auth_quarantined, count(*) as n from recon r left join (select distinct transaction_id from quarantine) q on r.of_auth = q.transaction_id where r.recon_status = 'ORPHAN_SETTLEMENT' group by 1"),
+}
