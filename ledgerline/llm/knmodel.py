@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 TOKEN = re.compile(r"\w+")
 #: Context of a document's first word, and the word that ends nothing.
@@ -19,6 +20,11 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
+def word_hash(word: str) -> int:
+    """Signed 63-bit hash of a word; words are handled by these alone."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+
+
 class Pair:
     """Two interpolated Kneser-Ney bigram models with one shared backoff.
 
@@ -27,11 +33,11 @@ class Pair:
     p(w)     = (k(w)+1) / (k+V+1), over both classes: the shared backoff counts.
     """
 
-    def __init__(self, words: list[str], left: np.ndarray, cont: np.ndarray, pairs: np.ndarray, seen: np.ndarray, discount: np.ndarray):
-        """words: vocabulary, in code point order. left[c, v]: tokens n_c(v) and types t_c(v) after v,
+    def __init__(self, words: np.ndarray, left: np.ndarray, cont: np.ndarray, pairs: np.ndarray, seen: np.ndarray, discount: np.ndarray):
+        """words: hashes of the vocabulary, sorted. left[c, v]: tokens n_c(v) and types t_c(v) after v,
         (2, 2, V). cont[c, w]: k_c(w), (2, V), and per class totals at V, types at V+1 (2, V+2).
         pairs: v * (V+1) + w, sorted; seen[c, i]: n_c of pair i. discount[c, order]."""
-        self.ids = {w: i for i, w in enumerate(words)}
+        self.words = words
         n = self.n = len(words)
         shared = (cont[:, :n].sum(0) + 1.0) / (cont[:, n].sum() + n + 1.0)
         shared = np.append(shared, 1.0 / (cont[:, n].sum() + n + 1.0))
@@ -52,14 +58,20 @@ class Pair:
             p.append(np.maximum(seen[c] - discount[c, 1], 0) / n_v + lam[c][v] * low[c][w])
         self.ratio = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
 
+    def known(self, words: list[str]) -> np.ndarray:
+        """Ids of the words; n for those that are not in the vocabulary."""
+        h = np.fromiter(map(word_hash, words), np.int64, len(words))
+        at = np.searchsorted(self.words, h)
+        at[at == self.n] = 0
+        return np.where(self.words[at] == h, at, self.n)
+
     def ratios(self, words: list[str]) -> np.ndarray:
         """log p_toxic(w|v) - log p_ordinary(w|v) of each token."""
         if not words:
             return np.zeros(0)
-        get, n = self.ids.get, self.n
-        w = np.fromiter((get(x, n) for x in words), np.int64, len(words))
-        v = np.empty_like(w)
-        v[0], v[1:] = get(START, n), w[:-1]
+        n = self.n
+        both = self.known([START, *words])
+        v, w = both[:-1], both[1:]
         out = self.lam[v] + self.low[w]
         known = np.flatnonzero((v < n) & (w < n))
         if len(known) and len(self.pairs):
