@@ -40,7 +40,7 @@ def label_counts(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(c)
             yield pd.DataFrame({"label": label, "b": at, "n": c[at]})
 
-    sums = rows.select("text", F.col("label").cast("string").alias("label")).mapInPandas(count, "label string, b int, n long").groupBy("label", "b").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.select("text", F.col("label").cast("string").alias("label")).mapInPandas(count, "label string, b int, n long").groupBy("label", "b").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     labels = sorted(set(sums["label"]))
     out = np.zeros((len(labels), SIZE))
     for i, label in enumerate(labels):
