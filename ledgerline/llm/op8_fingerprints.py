@@ -102,20 +102,24 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    part = F.lit(0)
-    if edges:
-        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text").alias("h"))
-    rows = docs.select("doc_id", "text", part.cast("int").alias("part"), F.xxhash64("text").alias("h"), order.alias("o"))
-    # One row for each range, so at most `ranges` of them.
-    firsts = sorted((r["part"], tuple(r["o"])) for r in rows.groupBy("part").agg(F.min("o").alias("o")).collect())
-    lend = F.lit(None).cast("int")
-    for i, (_, (_, doc_id, h)) in enumerate(firsts):
-        lend = F.when(F.col("doc_id").eqNullSafe(F.lit(doc_id)) & (F.col("h") == h), F.lit(firsts[i - 1][0])).otherwise(lend)
-    lent = rows.withColumn("to", F.when(F.col("part").isin([p for p, _ in firsts]), lend))
-    both = lent.withColumn("x", F.explode(F.when(F.col("to").isNull(), F.array(F.struct("part", F.lit(False).alias("lent")))).otherwise(F.array(F.struct("part", F.lit(False).alias("lent")), F.struct(F.col("to").alias("part"), F.lit(True).alias("lent"))))))
+    edges = np.array(sorted(set(edges)), np.int64)
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        at = np.searchsorted(edges, ids.fillna(0).to_numpy().astype(np.int64), side="right")
+        return pd.Series(np.where(known, at, 0).astype(np.int32))
+
+    # Null ids, whose floats would lose digits in pandas, are told apart ahead of the function.
+    rows = docs.select("doc_id", "text", part(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("part"), F.xxhash64("text").alias("h"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("o")
+    # One row for each range, so at most `ranges` of them: a proven bound for the broadcast.
+    firsts = rows.groupBy("part").agg(first).select("part", "o.doc_id", "o.h").orderBy("part").collect()
+    lend = spark.createDataFrame([(r["doc_id"], r["h"], r["part"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)], "f_id long, f_h long, f_part int, to int")
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("part") == F.col("f_part"))
+    lent = rows.join(F.broadcast(lend), same, "left")
+    own, other = F.struct("part", F.lit(False).alias("lent")), F.struct(F.col("to").alias("part"), F.lit(True).alias("lent"))
+    both = lent.withColumn("x", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, other))))
     both = both.select("doc_id", "text", "h", "x.part", "x.lent")
     return both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "lent", F.col("doc_id").asc_nulls_first(), "h")
 
