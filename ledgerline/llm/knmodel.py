@@ -66,7 +66,7 @@ class Pair:
         return np.where(self.words[at] == h, at, self.n)
 
     def ratios(self, words: list[str]) -> np.ndarray:
-        """log p_toxic(w|v) - log p_ordinary(w|v) of each token."""
+        """log p_toxic(w|v) - log p_ordinary(w|v) of each token; 0 for words outside the vocabulary."""
         if not words:
             return np.zeros(0)
         n = self.n
@@ -80,6 +80,7 @@ class Pair:
             at[at == len(self.pairs)] = 0
             hit = self.pairs[at] == code
             out[known[hit]] = self.ratio[at[hit]]
+        out[w == n] = 0
         return out
 
 
