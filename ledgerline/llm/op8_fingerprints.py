@@ -30,15 +30,17 @@ from pyspark.sql import functions as F
 
 from .common import session, table
 
-SAMPLES, KEPT = 128, 20_000
+SAMPLES, KEPT, DRAWN = 128, 40_000, 64
 WORD = re.compile(r"\w+")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Sampler:
@@ -55,13 +57,19 @@ class Sampler:
         at = np.arange(len(self.ids), len(self.ids) + len(words))
         self.ids.update(zip(words, at.tolist()))
         seed = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-        k = np.arange(self.samples * 5, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-        u = (mixed(mixed(seed)[:, None] + k[None, :]) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
-        u = u.reshape(len(words), 5, self.samples)
-        r = -np.log(u[:, 0] * u[:, 1])
-        self.r[at], self.b[at] = r, u[:, 4]
-        self.once[at] = np.log(-np.log(u[:, 2] * u[:, 3])) + r * u[:, 4] - r
         self.code[at] = seed
+        start = mixed(seed)
+        k = np.arange(-(-self.samples * 5 // 2), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+        for i in range(0, len(words), DRAWN):
+            # Two uniforms of 24 bits from each hash, for a few words at once, which stay in cache.
+            u = mixed(start[i : i + DRAWN, None] + k).view(np.uint32)[:, : self.samples * 5] >> np.uint32(8)
+            u = u.astype(np.float32)
+            u += np.float32(0.5)
+            u *= np.float32(2.0**-24)
+            u = u.reshape(len(u), 5, self.samples)
+            r, b, to = -np.log(u[:, 0] * u[:, 1]), u[:, 4], slice(at[i], at[i] + len(u))
+            self.r[to], self.b[to] = r, b
+            self.once[to] = np.log(-np.log(u[:, 2] * u[:, 3])) + r * b - r
 
     def signature(self, text: str) -> np.ndarray:
         bag = Counter(WORD.findall(text.lower()))
@@ -78,12 +86,12 @@ class Sampler:
                 self.draw(fresh)
             at = np.array([self.ids[w] for w, _ in part])
             n = np.array([c for _, c in part], np.float32)
-            a, t = self.once[at], np.zeros((len(at), self.samples), np.float32)
+            a, t = self.once.take(at, 0), np.zeros((len(at), self.samples), np.float32)
             many = np.flatnonzero(n > 1)
             if len(many):
                 m = at[many]
-                t[many] = np.floor(np.log(n[many])[:, None] / self.r[m] + self.b[m])
-                a[many] -= self.r[m] * t[many]
+                t[many] = np.floor(np.log(n[many])[:, None] / (r := self.r.take(m, 0)) + self.b.take(m, 0))
+                a[many] -= r * t[many]
             low = a.argmin(0)
             k = np.arange(self.samples)
             better = a[low, k] < best
