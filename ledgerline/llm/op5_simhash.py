@@ -28,16 +28,20 @@ from .components import components
 RADIUS, SHARD, WORDS = 3, 2048, 3
 
 
-def fingerprint(text: str | None, width: int = WORDS) -> int:
-    """Words are split at ASCII white space and A-Z lower-cased, as bytes do it."""
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """Words are split at ASCII white space and A-Z lower-cased, as bytes do it. A text of
+    fewer words is one shingle, one of none has no shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(b" ".join(words), 42)]
-    else:
-        hashes = [digest(b" ".join(s), 42) for s in zip(*[words[i:] for i in range(width)])]
+        return [digest(b" ".join(words), 42)] if words else []
+    return [digest(b" ".join(s), 42) for s in zip(*[words[i:] for i in range(width)])]
+
+
+def fingerprint(text: str | None, width: int = WORDS) -> int:
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     h = np.array(hashes, np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
