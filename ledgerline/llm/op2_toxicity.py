@@ -5,9 +5,8 @@ Bigram counts of toxic and of ordinary labelled documents are summed by Spark; t
 is scored by the length-normalised difference of its two log-likelihoods, over the whole text
 and over its most toxic spans, calibrated on labelled rows by cross-fitting: each fold is scored by counts of the others.
 
-A bigram counts once for each text. The vocabulary is the words of at least LEAST texts and
-`share` of the toxic training texts: rarer ones would let the models learn single documents
-and their copies, and their labels' errors, by heart. They are neutral.
+A bigram counts once for each text, and every bigram seen is kept: discounts and the shared
+backoff damp those of few texts, and cross-fitting keeps a text from being scored by itself.
 
 Learning uses at most `cap` documents of each class (a documented bound on the model, which is
 what goes to the driver and the workers); all documents are scored over their whole texts.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, crc_mod, hash_fraction, session, staged, table
 from .knmodel import START, Pair, features, logistic, tokens, word_hash
 
-CAP, THRESHOLD, SEED, FOLDS, LEAST, SHARE = 1500, 0.7, 11, 3, 4, 0.05
+CAP, THRESHOLD, SEED, FOLDS = 1500, 0.7, 11, 3
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(marks, "doc_id")
 
 
-def train(rows: DataFrame, cap: int = CAP, share: float = SHARE):
+def train(rows: DataFrame, cap: int = CAP):
     """(Pair, calibration) from (doc_id, text, toxic), or None without both classes."""
     session(rows)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -47,24 +46,12 @@ def train(rows: DataFrame, cap: int = CAP, share: float = SHARE):
     rows = staged(rows, "toxic-train")
     rows = rows.withColumn("fold", F.floor(hash_fraction(SEED + 1, F.xxhash64("text")) * FOLDS).cast("int"))
 
-    def texts_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                found.update({word_hash(w) for w in tokens(text)})
-        yield pd.DataFrame(list(found.items()), columns=["w", "n"], dtype="int64")
-
-    least = max(LEAST, share * rows.where("toxic = 1").count())
-    common = rows.mapInPandas(texts_with, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("w").toArrow()
-    vocabulary = set(common["w"].to_numpy().tolist()) | {word_hash(START)}
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
         for batch in batches:
             for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
                 words = [word_hash(w) for w in (START, *tokens(text))]
-                found.update({(int(toxic), int(fold), v, w) for v, w in zip(words, words[1:]) if v in shared.value and w in shared.value})
+                found.update({(int(toxic), int(fold), v, w) for v, w in zip(words, words[1:])})
         yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["c", "f", "v", "w", "n"])
 
     parts = [F.sum(F.when((F.col("c") == c) & (F.col("f") == f), F.col("n")).otherwise(0)).cast("int").alias(f"n{c}_{f}") for c in (0, 1) for f in range(FOLDS)]
