@@ -1,110 +1,117 @@
-"""Class-conditional Kneser-Ney bigram models over numpy arrays: the per-batch helper of op2.
+"""Texts as code points, hashed words and character grams, and what a document's evidence is:
+the per-batch helper of op2. The counts and probabilities come from Spark (see op2_toxicity).
 
-The counts come from Spark (see op2_toxicity); this file turns them into lookup arrays and
-gives each token its log-likelihood ratio, toxic against ordinary.
+A text is lower-cased; letters, digits and marks stay, and each run of anything else is one
+space. A text is worked through in pieces of PIECE characters that end at a space where there
+is one, so memory does not grow with its length.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import xxhash
-
-TOKEN = re.compile(r"\w+")
-#: Context of a document's first word, and the word that ends nothing.
-START = "\x02"
-
-
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
-
-
-def word_hash(word: str) -> int:
-    """Signed 63-bit hash of a word; words are handled by these alone."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
-
-
-class Pair:
-    """Two interpolated Kneser-Ney bigram models with one shared backoff.
-
-    p_c(w|v) = max(n_c(vw)-D,0)/n_c(v) + D t_c(v)/n_c(v) * p_c(w)
-    p_c(w)   = max(k_c(w)-D,0)/k_c + D t_c/k_c * p(w),   k: numbers of different left contexts
-    p(w)     = (k(w)+1) / (k+V+1), over both classes: the shared backoff counts.
-    """
-
-    def __init__(self, words: np.ndarray, left: np.ndarray, cont: np.ndarray, pairs: np.ndarray, seen: np.ndarray, discount: np.ndarray):
-        """words: hashes of the vocabulary, sorted. left[c, v]: tokens n_c(v) and types t_c(v) after v,
-        (2, 2, V). cont[c, w]: k_c(w), (2, V), and per class totals at V, types at V+1 (2, V+2).
-        pairs: v * (V+1) + w, sorted; seen[c, i]: n_c of pair i. discount[c, order]."""
-        self.words = words
-        n = self.n = len(words)
-        shared = (cont[:, :n].sum(0) + 1.0) / (cont[:, n].sum() + n + 1.0)
-        shared = np.append(shared, 1.0 / (cont[:, n].sum() + n + 1.0))
-        low, lam = [], []
-        for c in (0, 1):
-            k, types, d = max(cont[c, n], 1.0), cont[c, n + 1], discount[c, 0]
-            own = np.append(np.maximum(cont[c, :n] - d, 0) / k, 0)
-            low.append(own + max(d * types / k, 1e-9) * shared)
-            n_v, t_v = left[c, 0], left[c, 1]
-            lam.append(np.append(np.where(n_v > 0, discount[c, 1] * t_v / np.maximum(n_v, 1), 1.0), 1.0))
-        self.low = np.log(low[1]) - np.log(low[0])
-        self.lam = np.log(np.maximum(lam[1], 1e-9)) - np.log(np.maximum(lam[0], 1e-9))
-        self.pairs = pairs
-        v, w = pairs // (n + 1), pairs % (n + 1)
-        p = []
-        for c in (0, 1):
-            n_v = np.maximum(left[c, 0][v], 1)
-            p.append(np.maximum(seen[c] - discount[c, 1], 0) / n_v + lam[c][v] * low[c][w])
-        self.ratio = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
-
-    def known(self, words: list[str]) -> np.ndarray:
-        """Ids of the words; n for those that are not in the vocabulary."""
-        h = np.fromiter(map(word_hash, words), np.int64, len(words))
-        at = np.searchsorted(self.words, h)
-        at[at == self.n] = 0
-        return np.where(self.words[at] == h, at, self.n)
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log p_toxic(w|v) - log p_ordinary(w|v) of each token; 0 for words outside the vocabulary."""
-        if not words:
-            return np.zeros(0)
-        n = self.n
-        both = self.known([START, *words])
-        v, w = both[:-1], both[1:]
-        out = self.lam[v] + self.low[w]
-        known = np.flatnonzero((v < n) & (w < n))
-        if len(known) and len(self.pairs):
-            code = v[known] * (n + 1) + w[known]
-            at = np.searchsorted(self.pairs, code)
-            at[at == len(self.pairs)] = 0
-            hit = self.pairs[at] == code
-            out[known[hit]] = self.ratio[at[hit]]
-        out[w == n] = 0
-        return out
 
+#: Characters of a gram, of which the last is predicted from the others.
+ORDER = 5
+PIECE = 1 << 20
+GRAM_BITS, WORD_BITS = 22, 23
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.uint64(32)
+
+
+@lru_cache
+def in_words() -> np.ndarray:
+    """Whether each code point belongs to words: letters, digits and marks."""
+    return np.fromiter((unicodedata.category(chr(i))[0] in "LNM" for i in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache
+def powers() -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(4095, 0xD1342543DE82EF95, np.uint64)))
 
-#: Tokens of the spans whose length-normalised likelihoods are compared, besides the whole text.
-SPANS = (1, 4, 16, 64)
-#: Log-ratios beyond which a token alone is evidence.
-LEVELS = (1.0, 2.0, 3.0)
-
-
-def features(ratio: np.ndarray) -> np.ndarray:
-    """Length-normalised log-likelihood differences: of the whole text, the largest of any
-    span of SPANS tokens (a shorter text counts as one span, padded by neutral tokens), and
-    what tokens beyond LEVELS add, per token and (logarithm) in all."""
-    n = len(ratio)
-    if not n:
-        return np.zeros(1 + len(SPANS) + 2 * len(LEVELS))
-    total = np.concatenate(([0.0], np.cumsum(ratio)))
-    out = [total[-1] / n]
-    for k in SPANS:
-        out.append((total[k:] - total[:-k]).max() / k if n >= k else total[-1] / k)
-    for level in LEVELS:
-        over = np.maximum(ratio - level, 0).sum()
-        out += [over / n, np.log1p(over)]
-    return np.array(out)
+
+def pieces(text: str | None) -> Iterator[str]:
+    text, at = text or "", 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            found = text.find(" ", end, end + PIECE)
+            end = found if found >= 0 else end
+        yield text[at:end]
+        at = end
+
+
+def spelled(piece: str) -> np.ndarray:
+    """Code points of the words, ORDER - 1 spaces ahead and one after each; empty without words."""
+    x = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = in_words()[x]
+    keep = inside | np.append(False, inside[:-1])
+    out = np.where(inside, x, 32)[keep].astype(np.uint64)
+    if not len(out):
+        return out
+    return np.concatenate([np.full(ORDER - 1, SPACE), out, [] if out[-1] == SPACE else [SPACE]]).astype(np.uint64)
+
+
+def grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the grams of a spelled piece and of their contexts."""
+    n = max(0, len(x) - ORDER + 1)
+    context = h = np.zeros(n, np.uint64)
+    for i in range(ORDER):
+        context = h
+        h = (h + x[i : i + n] + np.uint64(1)) * FACTOR
+        h ^= h >> np.uint64(29)
+    return h * FACTOR, context * FACTOR
+
+
+def words(x: np.ndarray) -> np.ndarray:
+    """Codes of the words of a spelled piece."""
+    x = x[ORDER - 1 :]
+    if not len(x):
+        return x
+    start = np.append(0, np.flatnonzero(x == SPACE)[:-1] + 1)
+    place = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+    h = np.add.reduceat((x + np.uint64(1)) * powers()[np.minimum(place, 4095)], start)
+    h ^= h >> np.uint64(32)
+    return h * FACTOR
+
+
+class Pair(NamedTuple):
+    """Log-likelihood ratios, toxic against ordinary, by the leading bits of the codes: of grams (NaN:
+    not seen), of contexts whose gram was not seen, and of words; `unseen` that of other words."""
+
+    gram: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    unseen: float
+
+
+NAMES = ("spelling, whole text", "most toxic spelling of a word", "toxic spellings", "words, whole text", "toxic words over 1", "toxic words over 2", "words")
+
+
+def features(text: str | None, pair: Pair) -> list[float]:
+    """The length-normalised log-likelihood ratios of the whole text, by spelling and by words, and
+    how far single words go beyond what chance gives. All 0 for a text without words."""
+    letters = tokens = spelling = word = most = over = over1 = over2 = 0.0
+    for piece in pieces(text):
+        x = spelled(piece)
+        if not len(x):
+            continue
+        code, context = grams(x)
+        r = pair.gram[code >> np.uint64(64 - GRAM_BITS)].astype(np.float32)
+        r = np.where(np.isnan(r), pair.context[context >> np.uint64(64 - GRAM_BITS)], r)
+        last = x[ORDER - 1 :] == SPACE
+        one = np.bincount(np.cumsum(np.append(0, last[:-1])), r)
+        w = pair.word[words(x) >> np.uint64(64 - WORD_BITS)].astype(np.float32)
+        w = np.where(np.isnan(w), pair.unseen, w)
+        letters, tokens = letters + len(r), tokens + len(w)
+        spelling, word = spelling + float(r.sum()), word + float(w.sum())
+        most, over = max(most, float(one.max())), over + float(np.maximum(one - 3, 0).sum())
+        over1, over2 = over1 + float(np.maximum(w - 1, 0).sum()), over2 + float(np.maximum(w - 2, 0).sum())
+    return [spelling / max(1.0, letters), most, float(np.log1p(over)), word / max(1.0, tokens), float(np.log1p(over1)), float(np.log1p(over2)), float(np.log1p(tokens))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

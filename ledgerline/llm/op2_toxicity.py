@@ -1,109 +1,229 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Bigram counts of toxic and of ordinary labelled documents are summed by Spark; the two models
-(knmodel.Pair) share their unigram backoff counts, which smooths rare expressions. A document
-is scored by the length-normalised difference of its two log-likelihoods, over the whole text
-and over its most toxic spans, calibrated on labelled rows by cross-fitting: each fold is scored by counts of the others.
-
-A bigram counts once for each text, and every bigram seen is kept: discounts and the shared
-backoff damp those of few texts, and cross-fitting keeps a text from being scored by itself.
-
-Learning uses at most `cap` documents of each class (a documented bound on the model, which is
-what goes to the driver and the workers); all documents are scored over their whole texts.
-
-Nulls: a null text is an empty one and gets the score of no evidence; null labels or ids of
-labels are ignored; a doc_id labelled twice counts as toxic if one of its labels is. Without
-labels of both classes all scores are 0. Repeated rows are kept; extra columns are ignored.
+Two pairs of models, toxic and ordinary, are counted over all labelled training rows, each
+distinct text once:
+
+* spelling: characters given the four before them, p_c(x|v) = max(n_c(vx) - D_c, 0) / n_c(v) +
+  D_c t_c(v) / n_c(v) * q(x|v'). All shorter contexts are one interpolated Kneser-Ney model q of
+  both classes, by counts of different left contexts: the shared backoff, in which rare
+  expressions are alike for both classes unless their own counts say otherwise.
+* words: p_c(w) = max(n_c(w) - D_c, 0) / n_c + D_c t_c / n_c * q(w), n: texts with the word,
+  q(w) shared by both classes.
+
+Counts, discounts and probabilities are tables in Spark that grow with the labelled rows. What
+is broadcast is their log ratios by hash: 2^22 grams, as many contexts, and 2^23 words at
+most, half-precision floats, 32 MB in all however much was counted. Grams or words
+that share a slot share their mean ratio by count; no text and no expression is left out.
+
+A document is scored by the length-normalised log-likelihood ratios of its whole text and what
+its most toxic words add (knmodel.features), calibrated by a logistic on labelled rows, each by
+models that were counted without its fold. Only that logistic is fitted on a bounded sample,
+FIT texts of each class.
+
+Nulls and ties: a null text is an empty one and gets the score of no evidence; null ids and
+labels teach nothing; a doc_id labelled twice, or a text with several labels, is toxic if one
+label is. Copies teach once. Without labels of both classes all scores are 0. Very long texts
+are worked through in pieces. An empty table gives no rows. Repeated rows are kept, and all
+columns stay except `score` and `predicted`, which are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, hash_fraction, session, staged, table
-from .knmodel import START, Pair, features, logistic, tokens, word_hash
+from .common import bounded_rates, crc_mod, free_name, hash_fraction, maybe_among, scratch, session, table, text_or_empty
+from .knmodel import GRAM_BITS, NAMES, ORDER, WORD_BITS, Pair, features, grams, logistic, pieces, spelled, words
 
-CAP, THRESHOLD, SEED, FOLDS = 1500, 0.7, 11, 3
+FIT, THRESHOLD, SEED, FOLDS = 3000, 0.7, 11, 3
+#: A model for each fold, counted without it, and the last counted from all.
+MODELS = FOLDS + 1
+CELLS = [f"n{c}_{f}" for c, f in product((0, 1), range(FOLDS))]
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows outside the held-out fold."""
-    marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(marks, "doc_id")
+    """text and toxic of the distinct labelled texts outside the held-out part.
+
+    Ids and hashes alone settle which rows teach; then only those texts are shuffled, once."""
+    marks = labels.where("doc_id is not null and toxic in (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.where("doc_id is not null").where(crc_mod("doc_id", 3) != 1).select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h"))
+    with scratch(docs.sparkSession) as staged:
+        one = rows.select("doc_id", "h").join(marks.hint("merge"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+        one = staged(one)
+        some = maybe_among(rows, "doc_id", one.select("doc_id"))
+        # Repeated rows of one id and text are one.
+        found = some.join(one.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text"))
+        return staged(found.select("text", "toxic"), keep=True)
+
+
+def cell() -> Column:
+    return (F.col("toxic") * FOLDS + F.col("fold")).alias("cell")
 
 
-def train(rows: DataFrame, cap: int = CAP):
-    """(Pair, calibration) from (doc_id, text, toxic), or None without both classes."""
-    session(rows)
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    rows = bounded_sample(rows, "toxic", cap, SEED, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = staged(rows, "toxic-train")
-    rows = rows.withColumn("fold", F.floor(hash_fraction(SEED + 1, F.xxhash64("text")) * FOLDS).cast("int"))
+def by_cell(rows: DataFrame, key: str, *rest: str) -> DataFrame:
+    """n{class}_{fold} for each key."""
+    sums = [F.sum(F.when(F.col("cell") == i, F.col("n")).otherwise(0)).alias(name) for i, name in enumerate(CELLS)]
+    return rows.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], *sums)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+
+def counted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, code, context, n...) of the grams, and (code, n...) of the words, over all texts."""
+
+    def groups(batch: pd.DataFrame) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for k, part in batch.groupby("cell"):
+            yield int(k), [x for text in part["text"] for x in map(spelled, pieces(text)) if len(x)]
+
+    def each_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
-                words = [word_hash(w) for w in (START, *tokens(text))]
-                found.update({(int(toxic), int(fold), v, w) for v, w in zip(words, words[1:])})
-        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["c", "f", "v", "w", "n"])
-
-    parts = [F.sum(F.when((F.col("c") == c) & (F.col("f") == f), F.col("n")).otherwise(0)).cast("int").alias(f"n{c}_{f}") for c in (0, 1) for f in range(FOLDS)]
-    known = rows.mapInPandas(count, "c int, f int, v long, w long, n long").groupBy("v", "w").agg(*parts).toArrow()
-    v, w = known["v"].to_numpy(), known["w"].to_numpy()
-    words = np.unique(np.concatenate([v, w]))
-    v, w = np.searchsorted(words, v), np.searchsorted(words, w)
-    order = np.argsort(v * (len(words) + 1) + w)
-    v, w = v[order], w[order]
-    seen = np.stack([known[f"n{c}_{f}"].to_numpy()[order] for c in (0, 1) for f in range(FOLDS)]).reshape(2, FOLDS, -1)
-    del known
-    whole = seen.sum(1)
-    if not whole.sum() or not (whole.sum(1) > 0).all():
-        return None
-    fits = []
-    for f in range(FOLDS):
-        rest = whole - seen[:, f]
-        if (rest.sum(1) > 0).all():
-            fits.append(score_features(rows.where(F.col("fold") == f), models(words, v, w, rest)).select("toxic", "x").toPandas())
-    fit = pd.concat(fits)
-    if fit["toxic"].nunique() < 2:
+            for k, xs in groups(batch):
+                if not xs:
+                    continue
+                found = [grams(x) for x in xs]
+                code, at, n = np.unique(np.concatenate([c for c, _ in found]), return_index=True, return_counts=True)
+                context = np.concatenate([v for _, v in found])[at]
+                joined = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, ORDER) for x in xs])[at].astype("<u4")
+                text = joined.tobytes().decode("utf-32-le", "replace")
+                yield pd.DataFrame({"g": [text[i : i + ORDER] for i in range(0, len(text), ORDER)], "code": code.view(np.int64), "context": context.view(np.int64), "cell": np.int32(k), "n": n})
+
+    def each_word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, part in batch.groupby("cell"):
+                found = [np.unique(np.concatenate([words(spelled(p)) for p in pieces(text)] or [np.zeros(0, np.uint64)])) for text in part["text"]]
+                code, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"code": code.view(np.int64), "cell": np.int32(k), "n": n})
+
+    rows = texts.select("text", cell())
+    g = by_cell(rows.mapInPandas(each_gram, "g string, code long, context long, cell int, n long"), "g", "code", "context")
+    return g, by_cell(rows.mapInPandas(each_word, "code long, cell int, n long"), "code")
+
+
+def count_of(c: int, m: int) -> Column:
+    """Count of class c in model m, which leaves out fold m (the last leaves out none)."""
+    return sum((F.col(f"n{c}_{f}") for f in range(FOLDS) if f != m), F.lit(0))
+
+
+def discount(once: int | None, twice: int | None) -> float:
+    once, twice = once or 0, twice or 0
+    return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+
+
+def statistics(rows: DataFrame) -> dict[tuple[int, int], tuple[int, int, float]]:
+    """(class, model) -> total, types and discount."""
+    sums = []
+    for c, m in product((0, 1), range(MODELS)):
+        n = count_of(c, m)
+        sums += [F.sum(n).alias(f"s{c}_{m}"), F.sum((n > 0).cast("long")).alias(f"t{c}_{m}"), F.sum((n == 1).cast("long")).alias(f"o{c}_{m}"), F.sum((n == 2).cast("long")).alias(f"w{c}_{m}")]
+    r = rows.agg(*sums).first()
+    return {(c, m): (r[f"s{c}_{m}"] or 0, r[f"t{c}_{m}"] or 0, discount(r[f"o{c}_{m}"], r[f"w{c}_{m}"])) for c, m in product((0, 1), range(MODELS))}
+
+
+def backoff(rows: DataFrame, staged) -> DataFrame:
+    """(s, q): the shared model's probability of the last character of s given those before it,
+    s: the last ORDER - 1 characters of a gram. `rows` has each gram g once."""
+    level, levels = rows.select(F.col("g").alias("s")), []
+    for k in range(ORDER - 1, 0, -1):
+        level = staged(level.groupBy(F.expr(f"right(s, {k})").alias("s")).agg(F.count("*").alias("n")))
+        levels.append(level)
+    total = levels[-1].agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    q = levels[-1].select("s", ((F.col("n") + 1) / ((total["n"] or 0) + total["v"] + 1)).alias("q"))
+    for k, level in zip(range(2, ORDER), levels[-2::-1]):
+        seen = level.agg(F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).first()
+        d = discount(seen["once"], seen["twice"])
+        same = Window.partitionBy(F.expr(f"left(s, {k - 1})"))
+        own = level.select("s", "n", F.expr(f"right(s, {k - 1})").alias("short"), F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("types"))
+        q = own.join(q.select(F.col("s").alias("short"), F.col("q").alias("low")), "short").select("s", ((F.col("n") - d + d * F.col("types") * F.col("low")) / F.col("total")).alias("q"))
+    return q
+
+
+def spelling(rows: DataFrame, staged) -> DataFrame:
+    """rows of counted grams with p{class}_{model} and the backoff weights l{class}_{model} of their contexts."""
+    known = statistics(rows)
+    sums = []
+    for c, m in product((0, 1), range(MODELS)):
+        sums += [F.sum(count_of(c, m)).alias(f"s{c}_{m}"), F.sum((count_of(c, m) > 0).cast("long")).alias(f"t{c}_{m}")]
+    contexts = rows.groupBy("context").agg(*sums)
+    low = backoff(rows, staged).withColumnRenamed("s", "suffix")
+    out = rows.withColumn("suffix", F.expr(f"right(g, {ORDER - 1})")).join(contexts, "context").join(low, "suffix")
+    more = {}
+    for c, m in product((0, 1), range(MODELS)):
+        d, total = known[c, m][2], F.col(f"s{c}_{m}")
+        left = F.when(total > 0, d * F.col(f"t{c}_{m}") / total).otherwise(1.0)
+        more[f"l{c}_{m}"] = left
+        more[f"p{c}_{m}"] = F.when(total > 0, F.greatest(count_of(c, m) - d, F.lit(0.0)) / total).otherwise(0.0) + left * F.col("q")
+    return out.withColumns(more)
+
+
+def vocabulary(rows: DataFrame) -> tuple[DataFrame, list[float]]:
+    """rows of counted words with p{class}_{model}, and the log ratio of a word not seen, by model."""
+    known = statistics(rows)
+    size = rows.count()
+    total = sum(known[c, FOLDS][0] for c in (0, 1)) + size + 1
+    share = {k: (d * t / s if s else 1.0) for k, (s, t, d) in known.items()}
+    q = (count_of(0, FOLDS) + count_of(1, FOLDS) + 1) / total
+    more = {}
+    for c, m in product((0, 1), range(MODELS)):
+        s, _, d = known[c, m]
+        more[f"p{c}_{m}"] = F.greatest(count_of(c, m) - d, F.lit(0.0)) / max(1, s) + share[c, m] * q
+    return rows.withColumns(more), [float(np.log(share[1, m] / share[0, m])) for m in range(MODELS)]
+
+
+def slots(rows: DataFrame, code: str, bits: int, above: str, below: str) -> DataFrame:
+    """(slot, r0, r1, ...): mean log ratio by count of what shares a slot, for each model; 2^bits rows at most."""
+    n = sum((F.col(x) for x in CELLS), F.lit(0))
+    ratios = [(F.sum(n * F.log(F.col(f"{above}_{m}") / F.col(f"{below}_{m}"))) / F.sum(n)).cast("float").alias(f"r{m}") for m in range(MODELS)]
+    return rows.groupBy(F.shiftrightunsigned(code, 64 - bits).cast("int").alias("slot")).agg(*ratios)
+
+
+def array(rows: DataFrame, m: int, bits: int, rest: float) -> np.ndarray:
+    """The ratios of model m by slot, half precision."""
+    out = np.full(1 << bits, rest, np.float16)
+    part = rows.select("slot", f"r{m}").toArrow()
+    out[part["slot"].to_numpy()] = part[f"r{m}"].to_numpy()
+    return out
+
+
+def train(texts: DataFrame):
+    """(Pair, calibration) from rows (text, toxic), or None without both classes."""
+    session(texts)
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
         return None
-    y = fit["toxic"].to_numpy(np.float64)
-    # Classes weigh what they do among all labelled rows, not what the sample keeps of them.
-    weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-    weight /= weight.mean()
-    return models(words, v, w, whole), logistic(np.array(fit["x"].tolist()), y, weight)
-
-
-def models(words: np.ndarray, v: np.ndarray, w: np.ndarray, seen: np.ndarray) -> Pair:
-    """The pair of models from the counts seen[class] of the bigrams (v, w), sorted by code."""
-    n = len(words)
-    left, cont, discount = np.zeros((2, 2, n)), np.zeros((2, n + 2)), np.zeros((2, 2))
-    for c in (0, 1):
-        left[c, 0], left[c, 1] = np.bincount(v, seen[c], n), np.bincount(v, seen[c] > 0, n)
-        cont[c, :n] = np.bincount(w, seen[c] > 0, n)
-        cont[c, n], cont[c, n + 1] = cont[c, :n].sum(), (cont[c, :n] > 0).sum()
-        for k, x in ((0, cont[c, :n]), (1, seen[c])):
-            once, twice = (x == 1).sum(), (x == 2).sum()
-            discount[c, k] = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-    return Pair(words, left, cont, v * (n + 1) + w, seen, discount)
-
-
-def score_features(rows: DataFrame, pair: Pair) -> DataFrame:
+    h, rate = F.xxhash64("text"), bounded_rates(texts, "toxic", FIT)
+    texts = texts.withColumns({"fold": F.floor(hash_fraction(SEED + 1, h) * FOLDS).cast("int"), "fit": hash_fraction(SEED, h) < rate})
+    with scratch(texts.sparkSession) as staged:
+        g, w = counted(texts)
+        g, w = staged(g), staged(w)
+        spell, (vocab, unseen) = spelling(g, staged), vocabulary(w)
+        spell = staged(spell)
+        tables = [staged(slots(spell, "code", GRAM_BITS, "p1", "p0")), staged(slots(spell, "context", GRAM_BITS, "l1", "l0")), staged(slots(vocab, "code", WORD_BITS, "p1", "p0"))]
+
+        def pair(m: int) -> Pair:
+            return Pair(array(tables[0], m, GRAM_BITS, np.nan), array(tables[1], m, GRAM_BITS, 0.0), array(tables[2], m, WORD_BITS, np.nan), unseen[m])
+
+        fits = [score_features(texts.where(F.col("fit") & (F.col("fold") == f)), pair(f)).select("toxic", "x").toPandas() for f in range(FOLDS)]
+        fit = pd.concat(fits)
+        if fit["toxic"].nunique() < 2:
+            return None
+        y = fit["toxic"].to_numpy(np.float64)
+        # Classes weigh what they do among all labelled texts, not what the sample keeps of them.
+        weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+        weight /= weight.mean()
+        return pair(FOLDS), logistic(np.array(fit["x"].tolist()), y, weight)
+
+
+def score_features(rows: DataFrame, pair: Pair, name: str = "x") -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(pair)
 
     @F.pandas_udf("array<double>")
     def x(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return texts.map(lambda t: features(model.ratios(tokens(t))))
+        return texts.map(lambda t: features(t, shared.value))
 
-    return rows.withColumn("x", x("text"))
+    return rows.withColumn(name, x("text"))
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,11 +233,10 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     pair, (mean, scale, b) = model
     weight = b[:-1] / scale
-    bias = float(b[-1] - (mean * weight).sum())
-    logit = F.lit(bias)
-    for i, one in enumerate(weight):
-        logit = logit + F.col("x")[i] * float(one)
-    out = score_features(docs, pair).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop("x")
+    logit, x = F.lit(float(b[-1] - (mean * weight).sum())), free_name(docs)
+    for i in range(len(NAMES)):
+        logit = logit + F.col(x)[i] * float(weight[i])
+    out = score_features(docs, pair, x).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop(x)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
