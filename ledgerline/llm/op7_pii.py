@@ -1,18 +1,24 @@
 r"""PII removal by information-theoretic sanitisation (DataFrame functions only).
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by fixed
-patterns and checks. Beyond them, words within REACH characters of an e-mail or phone number
-(the protected entities) are weighed by corpus co-occurrence: with n(t) the documents that
-hold the word t and n(t, x) those that hold it near the entity x, t discloses
-log2(P(x|t) / P(x)) bits about x. A word that occurs near x in at least SUPPORT documents,
-with P(x|t) >= SHARE and at least BITS bits, is removed wherever it stands near x (kind `term`).
+patterns and checks: the protected entities, told apart by their values. Beyond them, each word
+of a document with an entity is weighed by corpus co-occurrence: with n(t) the occurrences
+of the word t in the corpus, n(x, t) those in documents that hold the entity x, and k(x, t) the
+different neighbours t has there (the fewer of left and right ones; copies of a passage give
+one), P(x|t) = n(x, t) / n(t) * (1 - 1/k), and t discloses log2(P(x|t) / P(x)) bits about x,
+P(x) being the share of documents with x. A word with P(x|t) >= SHARE and at least BITS bits is
+removed wherever it stands in a document with x (kind `term`).
+
+An entity in one document only, or in over 1 in 2^BITS documents, can have no such word, so
+neither is counted further. All counts are aggregated before they are shuffled.
 
 Positions come from string functions alone: splitting a text by a pattern gives what stands
 between the matches, and running sums of lengths give code point offsets.
 
-A null text is an empty one; a null doc_id is kept. Equal rows get equal results and count as
-so many documents in the statistics. An empty table gives no rows. Extra columns are ignored
-by `spans` and kept by `redact`; names beginning with `pii_` are reserved.
+A null text is an empty one; a null doc_id is kept. Repeated rows get equal results, each as a
+row of its own, and count as so many documents. Very long texts and runs are scanned once a
+pattern, without recursion. Ties do not arise: thresholds are inclusive. An empty table gives no
+rows. Extra columns are kept, whatever their names, except those beginning with `pii_`.
 """
 
 from __future__ import annotations
@@ -20,37 +26,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import maybe_among, scratch, table, text_or_empty
 
-#: Fixed patterns of the base kinds, in the order of the digest.
+#: Fixed patterns of the base kinds, in the order of the digest, written so that they match the
+#: same text as the plain forms in the tests, without recursion and in linear time: possessive
+#: repeats, starts only where a run begins or the last match ended, 13 digits at least for a card.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A character without which a pattern cannot match, for a cheap test ahead of the pattern.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"\p{L}{3,}"
-REACH, SUPPORT, SHARE, BITS = 48, 3, 0.5, 4.0
+TERM = r"[\p{L}\p{M}]{3,}+"
+SHARE, BITS = 0.6, 4.0
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+#: Matches whose places are summed up together.
+BLOCK = 256
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array of (start, end, value) of the matches, in code points. Lengths are summed in blocks
+    of BLOCK matches, and over the blocks, so that no long array is built match by match."""
+    joined = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(joined) - 1) / BLOCK).cast("int")), lambda b: F.slice(joined, b * BLOCK + 1, F.lit(BLOCK)))
+    zero = F.lit(0).cast("bigint")
+    length = lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))).cast("bigint")
+    sized = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, zero, lambda a, x: a + length(x)).alias("n")))
+    kind = "array<struct<at:bigint,b:array<struct<gap:string,value:string>>>>"
+    starts = F.aggregate(sized, F.struct(zero.alias("at"), F.array().cast(kind).alias("out")), lambda a, s: F.struct((a["at"] + s["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), s["b"].alias("b")))).alias("out")))
 
+    def span(a, x):
+        start = a["at"] + F.length(x["gap"])
+        here = F.array(F.struct(start.cast("bigint").alias("start"), (start + F.length(x["value"])).cast("bigint").alias("end"), x["value"].alias("value"))).cast(SPAN)
+        return F.struct((a["at"] + length(x)).alias("at"), F.when(x["value"].isNull(), a["out"]).otherwise(F.concat(a["out"], here)).alias("out"))
 
-def located(text: Column, pattern: str, offset=0) -> Column:
-    """array of (start, end, value) of the matches, in code points plus offset."""
-    p = F.lit(pattern)
-    joined = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("value"))
-    step = F.aggregate(
-        joined,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))).cast("bigint").alias("at"),
-            F.when(x["value"].isNull(), a["out"]).otherwise(
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"]) + offset).cast("bigint").alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["value"]) + offset).cast("bigint").alias("end"), x["value"].alias("value"))).cast(SPAN))
-            ).alias("out"),
-        ),
-    )
-    return step["out"]
+    return F.flatten(F.transform(starts["out"], lambda s: F.aggregate(s["b"], F.struct(s["at"].alias("at"), F.array().cast(SPAN).alias("out")), span)["out"]))
 
 
 def digits(value: Column) -> Column:
@@ -86,51 +98,56 @@ def base_spans(text: Column) -> dict[str, Column]:
     out = {}
     for kind, pattern in PATTERNS.items():
         at = F.filter(located(text, pattern), checker(kind))
-        might = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.regexp_like(text, F.lit(r"[0-9]([\x20-]?[0-9]){12}"))
+        might = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.regexp_like(text, F.lit(PATTERNS[kind]))
         out[kind] = F.when(might, at).otherwise(F.array().cast(SPAN))
     return out
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, email, ip, card, phone and term: arrays of (start, end, value).
-
-    Only documents with an e-mail address or phone number take part in the joins; statistics
-    of words are summed over all documents, and each is one row for each distinct word."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("pii_key"), *[c.alias(k) for k, c in base_spans(text).items()])
-    base = staged(base.drop("text").distinct(), "pii-base")
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("pii_key"))
-
-    # Words near each protected entity, with their places.
-    near = base.where((F.size("email") > 0) | (F.size("phone") > 0)).select("pii_key", F.explode(F.concat("email", "phone")).alias("e"))
-    near = near.join(keyed.select("pii_key", "text").distinct(), "pii_key")
-    start = F.greatest(F.col("e.start") - REACH, F.lit(0))
-    before = F.expr(f"substring(text, cast(greatest(e.start - {REACH}, 0) + 1 as int), cast(least(e.start, {REACH}) as int))")
-    after = F.expr(f"substring(text, cast(e.end + 1 as int), {REACH})")
-    words = F.concat(located(before, TERM, start), located(after, TERM, F.col("e.end")))
-    near = near.select("pii_key", F.lower("e.value").alias("x"), F.explode(words).alias("w")).select("pii_key", "x", F.lower("w.value").alias("t"), "w.start", "w.end", F.col("w.value").alias("value"))
-    near = staged(near, "pii-near")
-    joint = near.select("pii_key", "x", "t").distinct().groupBy("x", "t").agg(F.count("*").alias("n_xt")).where(F.col("n_xt") >= SUPPORT)
-    joint = staged(joint, "pii-joint")
-    entity = near.select("pii_key", "x").distinct().groupBy("x").agg(F.count("*").alias("n_x"))
-    total = docs.agg(F.count("*").alias("n"))
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("t"))
-    known = seen.groupBy("t").agg(F.count("*").alias("n_t")).join(joint.select("t").distinct(), "t", "left_semi")
-    told = (
-        joint.join(known, "t").join(entity, "x").join(F.broadcast(total))
-        .where((F.col("n_xt") / F.col("n_t") >= SHARE) & (F.log2(F.col("n_xt") * F.col("n") / (F.col("n_t") * F.col("n_x"))) >= BITS))
-        .select("x", "t")
-    )
-    terms = near.join(told, ["x", "t"]).groupBy("pii_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("term"))
-    out = base.join(terms, "pii_key", "left")
+def told(entities: DataFrame, base: DataFrame, docs: DataFrame, staged) -> DataFrame:
+    """(pii_row, start, end, value): the disclosing words of `base` (pii_row, text, ...), whose entities
+    are (pii_row, x)."""
+    n = F.lit(docs.count())
+    recurring = staged(entities.groupBy("x").agg(F.count("*").alias("n_x")).where((F.col("n_x") >= 2) & (F.col("n_x") * 2**BITS <= n)))
+    held = staged(entities.join(recurring, "x"))
+    near = maybe_among(base.where("pii_text is not null").select("pii_row", "pii_text"), "pii_row", held.select("pii_row"))
+    words = F.transform(located(F.col("pii_text"), TERM), lambda s: F.struct(F.lower(s["value"]).alias("t"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    near = near.select("pii_row", words.alias("w"))
+    place = near.select("pii_row", F.posexplode("w").alias("i", "o"), F.col("w.t").alias("all"))
+    side = lambda step: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.get("all", F.col("i") + step)), F.lit(64)))
+    place = staged(place.select("pii_row", "o.*", side(-1).alias("before"), side(1).alias("after")).join(held, "pii_row"))
+    # Neighbours are told apart by 64 buckets: never more are counted than there are.
+    k = F.least(F.bit_count(F.bit_or("before")), F.bit_count(F.bit_or("after")))
+    joint = place.groupBy("x", "t").agg(F.count("*").alias("n_xt"), F.first("n_x").alias("n_x"), k.alias("k")).where("k >= 2")
+    known = docs.select(F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    share = F.col("n_xt") / F.col("n_t") * (1 - 1 / F.col("k"))
+    found = staged(joint.join(known, "t").where((share >= SHARE) & (F.log2(share * n / F.col("n_x")) >= BITS)).select("x", "t"))
+    return staged(place.join(found, ["x", "t"]).select("pii_row", "start", "end", "value"), keep=True)
+
+
+def spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """docs with pii_email, pii_ip, pii_card, pii_phone and pii_term: arrays of (start, end, value).
+
+    Each row gets a number when it is written, so rows are found again whatever their ids and
+    texts. With keep_text the result has all columns; without, all but `text`."""
+    text = text_or_empty()
+    with scratch(docs.sparkSession) as staged:
+        base = docs.withColumns({"pii_row": F.monotonically_increasing_id(), **{f"pii_{k}": c for k, c in base_spans(text).items()}})
+        some = F.greatest(*[F.size(f"pii_{k}") for k in PATTERNS]) > 0
+        rest = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
+        base = staged(base.select("pii_row", *rest, F.when(some, text).alias("pii_text"), *[f"pii_{k}" for k in PATTERNS]), keep=True)
+        values = F.array_distinct(F.concat(*[F.transform(f"pii_{k}", lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in PATTERNS]))
+        entities = base.where("pii_text is not null").select("pii_row", F.explode(values).alias("x"))
+        terms = told(entities, base, docs, staged)
+        terms = staged(terms.groupBy("pii_row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("pii_term")), keep=True)
+    out = base.drop("pii_text").join(terms, "pii_row", "left")
     # Terms that lie within a base span are already covered by it.
-    all_base = F.concat(*PATTERNS)
-    free = F.filter(F.coalesce("term", F.array().cast(SPAN)), lambda t: ~F.exists(all_base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return out.withColumn("term", free)
+    every = F.concat(*[F.col(f"pii_{k}") for k in PATTERNS])
+    free = F.filter(F.coalesce("pii_term", F.array().cast(SPAN)), lambda t: ~F.exists(every, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    return out.withColumn("pii_term", free).drop("pii_row")
 
 
 def joined_spans(kinds) -> Column:
-    return F.array_join(F.concat(*[F.transform(F.col(k), span_text(k)) for k in kinds]), ",")
+    return F.array_join(F.concat(*[F.transform(F.col(f"pii_{k}"), span_text(k)) for k in kinds]), ",")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -138,31 +155,26 @@ def redact(docs: DataFrame) -> DataFrame:
     disclosing term removed; overlapping spans become one, of the kind that starts first.
     A column n_chars, if there is one, is set to the new length."""
     kinds = [*PATTERNS, "term"]
-    marked = spans(docs)
-    every = F.concat(*[F.transform(F.col(k), span_kind(k)) for k in kinds])
-    every = F.array_sort(every)
-    cuts = marked.where(F.greatest(*[F.size(k) for k in kinds]) > 0).select("pii_key", every.alias("pii_cuts"))
-    cuts = staged(cuts.dropDuplicates(["pii_key"]), "pii-cuts")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    out = spans(docs).withColumn("pii_cuts", F.array_sort(F.concat(*[F.transform(F.col(f"pii_{k}"), span_kind(k)) for k in kinds])))
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(a, s):
         fresh = s["start"] >= a["at"]
         gap = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
         mark = F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(a["at"], s["end"]).cast("bigint").alias("at"), F.when(fresh, F.concat(a["out"], gap, mark)).otherwise(a["out"]).alias("out"))
+        return F.struct(F.greatest(a["at"], s["end"]).cast("bigint").alias("at"), F.when(fresh, F.concat(a["out"], F.array(gap, mark))).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate("pii_cuts", state, cut)
-    keyed = docs.withColumn("pii_key", F.xxhash64("doc_id", "text")).join(cuts, "pii_key", "left").withColumn("pii_done", F.when(F.col("pii_cuts").isNotNull(), done))
-    fresh = F.when(F.col("pii_done").isNull(), F.col("text")).otherwise(F.concat("pii_done.out", F.expr("substring(text, cast(pii_done.at + 1 as int))")))
-    out = keyed.withColumn("text", fresh)
+    some = F.size("pii_cuts") > 0
+    out = out.withColumn("pii_done", F.when(some, done))
+    whole = F.concat(F.array_join("pii_done.out", ""), F.expr("substring(text, cast(pii_done.at + 1 as int))"))
+    out = out.withColumn("text", F.when(some, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("pii_done").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = spans(docs)
-    digest = found.select("pii_key", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(joined_spans(PATTERNS), 256).alias("base_sha256"), joined_spans([*PATTERNS, "term"]).alias("spans"), F.size("term").cast("long").alias("n_term"))
-    copies = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("pii_key"))
-    return copies.join(digest, "pii_key").drop("pii_key")
+    found = spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(PATTERNS), 256).alias("base_sha256"), joined_spans([*PATTERNS, "term"]).alias("spans"), F.size("pii_term").cast("long").alias("n_term"))
