@@ -6,10 +6,13 @@ probabilities: a path shrinks toward its host, a host toward the global mean, by
 strengths estimated by moments from grouped sums. The score adds the path's posterior
 log-odds, relative to the global ones, to the document's.
 
-The classifier learns from at most CAP labelled documents of each class; the sums cover all.
+The classifier learns from at most CAP labelled documents of each class, chosen by a hash of
+their ids from the labels alone, so that no text is shuffled for it; the sums cover all.
 The host is `source`; the path within it is `lang`, for want of a URL. Nulls: null hosts and
-paths are groups of their own; a null text is an empty one; null labels are ignored. Without
-labels of both classes all evidence is 0.5. Repeated rows are kept; extra columns stay.
+paths are groups of their own; a null text is an empty one; null labels and ids of labels are
+ignored; a doc_id labelled twice is good if all its labels are. Without labels of both classes
+all evidence is 0.5. A score of exactly 0.5 is predicted 1. Whole texts count, however long.
+Repeated rows are kept, an empty table gives no rows, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, session, staged, table
+from .common import bounded_rates, crc_mod, free_name, hash_fraction, scratch, session, staged, table
 from .knmodel import logistic
 from .ngrams import counts, label_counts
 
@@ -35,40 +38,52 @@ def shape(text: str, weights: np.ndarray) -> list[float]:
     return [float(c[at] @ weights[at] / c.sum()), odd / n, len(set(words)) / k, n / k, float(np.log1p(len(words))), 1 - len(set(lines)) / max(1, len(lines)), sum(map(str.isupper, text)) / n]
 
 
-def train(rows: DataFrame, cap: int = CAP):
-    """The document classifier from rows (doc_id, text, quality); None without both classes."""
+def labelled(docs: DataFrame, labels: DataFrame, cap: int = CAP) -> DataFrame:
+    """text, quality and weight (how many labelled ids a row stands for) of about `cap` labelled
+    documents of each class outside the held-out fold."""
+    marks = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rate = bounded_rates(marks, "quality", cap)
+    picks = marks.where(hash_fraction(SEED, F.col("doc_id")) < rate).select("doc_id", "quality", (1 / rate).alias("weight"))
+    # About `cap` ids of each of two classes: a proven bound for the broadcast.
+    return docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("text", "quality", "weight")
+
+
+def train(rows: DataFrame):
+    """The document classifier from rows (text, quality, weight); None without both classes."""
     session(rows)
-    rows = staged(bounded_sample(rows, "quality", cap, SEED, "doc_id"), "quality-train")
-    labels, c = label_counts(rows.select("text", F.col("quality").alias("label")))
-    if len(labels) < 2:
-        return None
-    share = (c + 1) / (c + 1).sum(1, keepdims=True)
-    weights = np.log(share[1]) - np.log(share[0])
-    fit = features(rows, weights).select("quality", "x").toPandas()
-    y = fit["quality"].to_numpy(np.float64)
-    mean, scale, b = logistic(np.array(fit["x"].tolist()), y, np.ones(len(y)))
+    with scratch(rows.sparkSession) as staged:
+        rows = staged(rows)
+        labels, c = label_counts(rows.select("text", F.col("quality").alias("label")))
+        if len(labels) < 2:
+            return None
+        share = (c + 1) / (c + 1).sum(1, keepdims=True)
+        weights = np.log(share[1]) - np.log(share[0])
+        fit = features(rows, weights, "x").select("quality", "weight", "x").toPandas()
+    y, w = fit["quality"].to_numpy(np.float64), fit["weight"].to_numpy(np.float64)
+    mean, scale, b = logistic(np.array(fit["x"].tolist()), y, w / w.mean())
     return weights, b[:-1] / scale, float(b[-1] - (mean * b[:-1] / scale).sum())
 
 
-def features(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def features(docs: DataFrame, weights: np.ndarray, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("array<double>")
     def x(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shape(t or "", shared.value))
 
-    return docs.withColumn("x", x("text"))
+    return docs.withColumn(name, x("text"))
 
 
 def evidence(docs: DataFrame, model) -> DataFrame:
+    """docs with the document classifier's probability."""
     session(docs)
     if model is None:
         return docs.withColumn("evidence", F.lit(0.5))
     weights, slopes, bias = model
-    logit = F.lit(bias)
+    logit, x = F.lit(bias), free_name(docs)
     for i, slope in enumerate(slopes):
-        logit = logit + F.col("x")[i] * float(slope)
-    return features(docs, weights).withColumn("evidence", 1 / (1 + F.exp(-logit))).drop("x")
+        logit = logit + F.col(x)[i] * float(slope)
+    return features(docs, weights, x).withColumn("evidence", 1 / (1 + F.exp(-logit))).drop(x)
 
 
 def log_odds(p: Column) -> Column:
@@ -107,6 +122,5 @@ def score(docs: DataFrame, model, host: str = "source", path: str = "lang", pull
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    marks = table(spark, sf_dir, "labels").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    model = train(docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(marks, "doc_id"))
+    model = train(labelled(docs, table(spark, sf_dir, "labels")))
     return score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
