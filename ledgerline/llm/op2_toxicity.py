@@ -52,13 +52,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Ids and hashes alone settle which rows teach; then only those texts are shuffled, once."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("doc_id is not null").where(crc_mod("doc_id", 3) != 1).select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h"))
-    with scratch(docs.sparkSession) as staged:
-        one = rows.select("doc_id", "h").join(marks.hint("merge"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-        one = staged(one)
-        some = maybe_among(rows, "doc_id", one.select("doc_id"))
-        # Repeated rows of one id and text are one.
-        found = some.join(one.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text"))
-        return staged(found.select("text", "toxic"), keep=True)
+    one = rows.select("doc_id", "h").join(marks.hint("merge"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    some = maybe_among(rows, "doc_id", marks.select("doc_id"))
+    # Repeated rows of one id and text are one.
+    return some.join(one.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
 def cell() -> Column:
@@ -67,7 +64,7 @@ def cell() -> Column:
 
 def by_cell(rows: DataFrame, key: str, *rest: str) -> DataFrame:
     """n{class}_{fold} for each key."""
-    sums = [F.sum(F.when(F.col("cell") == i, F.col("n")).otherwise(0)).alias(name) for i, name in enumerate(CELLS)]
+    sums = [F.sum(F.when(F.col("cell") == i, F.col("n")).otherwise(0)).cast("float").alias(name) for i, name in enumerate(CELLS)]
     return rows.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], *sums)
 
 
@@ -140,15 +137,19 @@ def backoff(rows: DataFrame, staged) -> DataFrame:
     return q
 
 
+def ratios(rows: DataFrame, above: str, below: str, name: str) -> dict[str, Column]:
+    return {f"{name}{m}": F.log(F.col(f"{above}_{m}") / F.col(f"{below}_{m}")).cast("float") for m in range(MODELS)}
+
+
 def spelling(rows: DataFrame, staged) -> DataFrame:
     """rows of counted grams with p{class}_{model} and the backoff weights l{class}_{model} of their contexts."""
     known = statistics(rows)
     sums = []
     for c, m in product((0, 1), range(MODELS)):
-        sums += [F.sum(count_of(c, m)).alias(f"s{c}_{m}"), F.sum((count_of(c, m) > 0).cast("long")).alias(f"t{c}_{m}")]
+        sums += [F.sum(count_of(c, m)).cast("float").alias(f"s{c}_{m}"), F.sum((count_of(c, m) > 0).cast("float")).cast("float").alias(f"t{c}_{m}")]
     contexts = rows.groupBy("context").agg(*sums)
     low = backoff(rows, staged).withColumnRenamed("s", "suffix")
-    out = rows.withColumn("suffix", F.expr(f"right(g, {ORDER - 1})")).join(contexts, "context").join(low, "suffix")
+    out = rows.withColumn("suffix", F.expr(f"right(g, {ORDER - 1})")).join(low, "suffix").drop("suffix").join(contexts, "context")
     more = {}
     for c, m in product((0, 1), range(MODELS)):
         d, total = known[c, m][2], F.col(f"s{c}_{m}")
@@ -172,11 +173,11 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, list[float]]:
     return rows.withColumns(more), [float(np.log(share[1, m] / share[0, m])) for m in range(MODELS)]
 
 
-def slots(rows: DataFrame, code: str, bits: int, above: str, below: str) -> DataFrame:
-    """(slot, r0, r1, ...): mean log ratio by count of what shares a slot, for each model; 2^bits rows at most."""
-    n = sum((F.col(x) for x in CELLS), F.lit(0))
-    ratios = [(F.sum(n * F.log(F.col(f"{above}_{m}") / F.col(f"{below}_{m}"))) / F.sum(n)).cast("float").alias(f"r{m}") for m in range(MODELS)]
-    return rows.groupBy(F.shiftrightunsigned(code, 64 - bits).cast("int").alias("slot")).agg(*ratios)
+def slots(rows: DataFrame, code: str, bits: int, name: str) -> DataFrame:
+    """(slot, r0, r1, ...): mean log ratio by count of what shares a slot, for each model; 2^bits rows at most.
+    rows: the code, the count n and the ratios {name}{model}."""
+    mean = [(F.sum(F.col("n") * F.col(f"{name}{m}")) / F.sum("n")).cast("float").alias(f"r{m}") for m in range(MODELS)]
+    return rows.groupBy(F.shiftrightunsigned(code, 64 - bits).cast("int").alias("slot")).agg(*mean)
 
 
 def array(rows: DataFrame, m: int, bits: int, rest: float) -> np.ndarray:
@@ -190,30 +191,38 @@ def array(rows: DataFrame, m: int, bits: int, rest: float) -> np.ndarray:
 def train(texts: DataFrame):
     """(Pair, calibration) from rows (text, toxic), or None without both classes."""
     session(texts)
+    with scratch(texts.sparkSession) as staged:
+        return fitted(staged(texts), staged)
+
+
+def fitted(texts: DataFrame, staged):
+    """`train` on written texts."""
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     h, rate = F.xxhash64("text"), bounded_rates(texts, "toxic", FIT)
     texts = texts.withColumns({"fold": F.floor(hash_fraction(SEED + 1, h) * FOLDS).cast("int"), "fit": hash_fraction(SEED, h) < rate})
-    with scratch(texts.sparkSession) as staged:
-        g, w = counted(texts)
-        g, w = staged(g), staged(w)
-        spell, (vocab, unseen) = spelling(g, staged), vocabulary(w)
-        spell = staged(spell)
-        tables = [staged(slots(spell, "code", GRAM_BITS, "p1", "p0")), staged(slots(spell, "context", GRAM_BITS, "l1", "l0")), staged(slots(vocab, "code", WORD_BITS, "p1", "p0"))]
-
-        def pair(m: int) -> Pair:
-            return Pair(array(tables[0], m, GRAM_BITS, np.nan), array(tables[1], m, GRAM_BITS, 0.0), array(tables[2], m, WORD_BITS, np.nan), unseen[m])
-
-        fits = [score_features(texts.where(F.col("fit") & (F.col("fold") == f)), pair(f)).select("toxic", "x").toPandas() for f in range(FOLDS)]
-        fit = pd.concat(fits)
-        if fit["toxic"].nunique() < 2:
-            return None
-        y = fit["toxic"].to_numpy(np.float64)
-        # Classes weigh what they do among all labelled texts, not what the sample keeps of them.
-        weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-        weight /= weight.mean()
-        return pair(FOLDS), logistic(np.array(fit["x"].tolist()), y, weight)
+    g, w = counted(texts)
+    g, w = staged(g), staged(w)
+    spell, (vocab, unseen) = spelling(g, staged), vocabulary(w)
+    n = sum((F.col(x) for x in CELLS), F.lit(0)).cast("float").alias("n")
+    spell = spell.withColumns(ratios(spell, "p1", "p0", "p") | ratios(spell, "l1", "l0", "l"))
+    spell = staged(spell.select("code", "context", n, *[f"{x}{m}" for x in "pl" for m in range(MODELS)]))
+    vocab = vocab.withColumns(ratios(vocab, "p1", "p0", "p")).select("code", n, *[f"p{m}" for m in range(MODELS)])
+    tables = [staged(slots(spell, "code", GRAM_BITS, "p")), staged(slots(spell, "context", GRAM_BITS, "l")), staged(slots(vocab, "code", WORD_BITS, "p"))]
+
+    def pair(m: int) -> Pair:
+        return Pair(array(tables[0], m, GRAM_BITS, np.nan), array(tables[1], m, GRAM_BITS, 0.0), array(tables[2], m, WORD_BITS, np.nan), unseen[m])
+
+    fits = [score_features(texts.where(F.col("fit") & (F.col("fold") == f)), pair(f)).select("toxic", "x").toPandas() for f in range(FOLDS)]
+    fit = pd.concat(fits)
+    if fit["toxic"].nunique() < 2:
+        return None
+    y = fit["toxic"].to_numpy(np.float64)
+    # Classes weigh what they do among all labelled texts, not what the sample keeps of them.
+    weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+    weight /= weight.mean()
+    return pair(FOLDS), logistic(np.array(fit["x"].tolist()), y, weight)
 
 
 def score_features(rows: DataFrame, pair: Pair, name: str = "x") -> DataFrame:
