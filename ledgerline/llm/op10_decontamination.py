@@ -1,33 +1,38 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A benchmark item of m characters that occurs in a document with at most e = rate * m edits
-shares at least m - q + 1 - q*e of its character q-grams with the document, within a band of
-diagonals (document position minus item position) that is e wide on either side. For each
-document the shared q-grams are counted in overlapping diagonal bands of width 4e+1, one
-starting each 2e, so that any such occurrence lies within one band; a band that meets the
-bound is kept, and a banded alignment of the item against that region verifies it.
-
-Both texts are lower-cased, and each run of white space becomes one space. Items under
-MIN_CHARS characters are compared as a whole without edits. The benchmark is cut into blocks of at most
-BLOCK_CHARS characters; each block is broadcast and held against all documents.
-
-Nulls: a null text is an empty one, and an empty item matches nothing. Items and documents
-that repeat give repeated rows only once per distinct item text; a null doc_id is kept. Empty
-tables give no matches. Extra columns of the documents stay.
+A benchmark item of m characters that occurs in a document with at most e edits shares at least
+m - q + 1 - q*e of its character q-grams with the document, within a band of diagonals (document
+position minus item position) that is e wide on either side. e is RATE * m, or less where
+the bound would be under one q-gram. For each document the shared q-grams are counted in overlapping
+diagonal bands of width 4e, one starting each 2e, so that any such occurrence lies within one
+band; a band that meets the bound is kept, and an alignment confined to its diagonals and e
+more on either side verifies it.
+
+Both texts are lower-cased, and each run of white space becomes one space. Items of fewer than q
+characters are looked up as they are, without edits. The benchmark is cut into blocks of at
+most BLOCK_CHARS characters (or one longer item); each block is broadcast on its own and held
+against all documents. Shared q-grams are counted at most PAIRS at a time, so very long and
+repetitive texts take time, not memory.
+
+Nulls: a null text is an empty one, and an empty item matches nothing; a null item_id counts as a
+match like any other, but is not listed; a null doc_id is kept. Repeated documents are each
+judged; repeated items are each listed, sorted, an id once. Empty tables give no matches. Extra
+columns of the documents stay, except `items` and `contaminated`, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, table
+from .common import free_name, scratch, session, staged, table
 
-Q, RATE, MIN_CHARS, BLOCK_CHARS = 8, 0.08, 40, 1_000_000
+Q, RATE, BLOCK_CHARS, PAIRS = 8, 0.08, 1_000_000, 1 << 21
 SPACE = re.compile(r"\s+")
 
 
@@ -47,16 +52,23 @@ def grams(text: str, q: int = Q) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def edits_within(item: str, region: str, most: int) -> int:
-    """Least edits that turn the item into any substring of the region; most + 1 if more.
-    The region is a band around one diagonal, so the table has len(item) short rows."""
-    r = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(r)
-    row, at = np.zeros(n + 1, np.int32), np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(map(ord, item), 1):
-        step = np.empty(n + 1, np.int32)
-        step[0] = i
-        step[1:] = np.minimum(row[:-1] + (r != c), row[1:] + 1)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def edits_within(item: str, text: str, low: int, high: int, most: int) -> int:
+    """Least edits that turn the item into a substring of the text by an alignment whose diagonals
+    (text position minus item position) stay from low to high; most + 1 if more. Outside the text
+    stands a character that equals none, so that using it costs as much as leaving one out."""
+    m, wide = len(item), high - low + 1
+    around = np.full(m + wide, -1, np.int64)
+    start, end = max(0, low), min(len(text), m + high)
+    if start < end:
+        around[start - low : end - low] = code_points(text[start:end])
+    row, at = np.zeros(wide, np.int32), np.arange(wide, dtype=np.int32)
+    for i, c in enumerate(code_points(item).astype(np.int64)):
+        step = row + (around[i : i + wide] != c)
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
         row = np.minimum.accumulate(step - at) + at
         if row.min() > most:
             return most + 1
@@ -68,8 +80,8 @@ class Index:
 
     def __init__(self, items: list[str], q: int = Q, rate: float = RATE):
         self.items, self.q = items, q
-        self.edits = np.array([int(rate * len(t)) if len(t) >= MIN_CHARS else 0 for t in items], np.int64)
-        self.need = np.array([max(1, len(t) - q + 1 - q * e) for t, e in zip(items, self.edits)], np.int64)
+        self.edits = np.array([max(0, min(int(rate * len(t)), (len(t) - q) // q)) for t in items], np.int64)
+        self.need = np.array([len(t) - q + 1 - q * e for t, e in zip(items, self.edits)], np.int64)
         found = [grams(t, q) for t in items]
         self.short = [i for i, g in enumerate(found) if not len(g)]
         codes = np.concatenate([*found, np.zeros(0, np.uint64)])
@@ -80,102 +92,129 @@ class Index:
         self.unique, self.first = np.unique(self.codes, return_index=True)
         self.last = np.append(self.first[1:], len(self.codes))
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and diagonal of each shared q-gram."""
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Item and diagonal of each shared q-gram, about PAIRS at a time."""
         if not len(self.unique) or not len(h):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         k = np.searchsorted(self.unique, h)
         k[k == len(self.unique)] = 0
         pos = np.flatnonzero(self.unique[k] == h)
         k = k[pos]
         n = self.last[k] - self.first[k]
-        which = np.repeat(self.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        return self.item[which], np.repeat(pos, n) - self.at[which]
+        part = (np.cumsum(n) - n) // PAIRS
+        for to in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(part)) + 1) if len(pos) else ():
+            c, first = n[to], self.first[k[to]]
+            which = np.repeat(first - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
+            yield self.item[which], np.repeat(pos[to], c) - self.at[which]
 
     def regions(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, from, to) of the bands that meet the bound."""
-        item, diagonal = self.hits(grams(text, self.q))
-        if not len(item):
+        """(item, lowest diagonal, highest) of the bands that meet the bound."""
+        h = grams(text, self.q)
+        shared = np.zeros(len(self.items), np.int64)
+        parts = 0
+        for item, _ in self.hits(h):
+            shared += np.bincount(item, minlength=len(self.items))
+            parts += 1
+        enough = (shared >= self.need) & (shared > 0)
+        if not enough.any():
             return []
-        enough = np.bincount(item, minlength=len(self.items)) >= self.need
-        keep = enough[item]
-        item, diagonal = item[keep], diagonal[keep]
-        if not len(item):
-            return []
-        e = self.edits[item]
-        step = np.maximum(1, 2 * e)
-        base = 1 << 40
-        band = np.floor_divide(diagonal, step) + (1 << 20)
-        both = np.concatenate([item * base + band, item * base + band - 1])
-        key, count = np.unique(both, return_counts=True)
-        i, b = key // base, key % base - (1 << 20)
-        good = count >= self.need[i]
+        base, zero = 1 << 40, 1 << 20
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for item, diagonal in self.hits(h):
+            keep = enough[item]
+            item, diagonal = item[keep], diagonal[keep]
+            band = np.floor_divide(diagonal, np.maximum(1, 2 * self.edits[item])) + zero
+            key, count = np.unique(np.concatenate([item * base + band, item * base + band - 1]), return_counts=True)
+            if parts > 1:
+                keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, count]), len(keys)).astype(np.int64)
+            else:
+                keys, counts = key, count
+        i, b = keys // base, keys % base - zero
+        good = counts >= self.need[i]
         out = []
         for i, b in zip(i[good].tolist(), b[good].tolist()):
             e = int(self.edits[i])
             step = max(1, 2 * e)
-            start = max(0, b * step - e)
-            end = (b + 2) * step + e + len(self.items[i])
-            if end > 0 and start < len(text):
-                out.append((i, start, min(end, len(text))))
+            out.append((i, b * step - e, (b + 2) * step - 1 + e))
         return out
 
     def matches(self, raw: str | None) -> list[int]:
         text, found = normal(raw), set()
         if not text:
             return []
-        for i, start, end in self.regions(text):
+        for i, low, high in self.regions(text):
             if i not in found:
-                region, item, most = text[start:end], self.items[i], int(self.edits[i])
-                if item in region or (most and edits_within(item, region, most) <= most):
+                item, most = self.items[i], int(self.edits[i])
+                if item in text[max(0, low) : max(0, high + len(item))] or (most and edits_within(item, text, low, high, most) <= most):
                     found.add(i)
         found.update(i for i in self.short if self.items[i] and self.items[i] in text)
         return sorted(found)
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS):
-    """The items (item_id, text), block by block, of at most `most` characters or one item."""
-    block, size = [], 0
+def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[dict[str, list]]:
+    """The items, block by block, of at most `most` characters or one item: text -> item_ids."""
+    block, size = {}, 0
     rows = benchmark.select("item_id", "text").where("length(trim(coalesce(text, ''))) > 0").orderBy("item_id")
     for item_id, text in rows.toLocalIterator():
         text = normal(text)
         if block and size + len(text) > most:
             yield block
-            block, size = [], 0
-        block.append((item_id, text))
-        size += len(text)
+            block, size = {}, 0
+        size += len(text) if text not in block else 0
+        block.setdefault(text, []).append(item_id)
     if block:
         yield block
 
 
-def finder(ids: list, index):
-    """UDF from text to the ids of the items that occur in it."""
+def finder(shared):
+    """UDF from text to (contaminated, items): whether any item of the block occurs in it, and which."""
 
-    @F.pandas_udf("array<long>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [ids[i] for i in index.value.matches(t) if ids[i] is not None])
+    @F.pandas_udf("struct<contaminated boolean, items array<long>>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        ids, index = shared.value
+        hits = [index.matches(t) for t in texts]
+        return pd.DataFrame({"contaminated": [bool(h) for h in hits], "items": [sorted({x for i in h for x in ids[i] if x is not None}) for h in hits]})
 
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """docs with items: the sorted item_ids that occur in each document (empty if none)."""
-    session(docs)
-    out = docs.withColumn("items", F.array().cast("array<long>"))
-    for block in blocks(benchmark):
-        ids = [i for i, _ in block]
-        shared = docs.sparkSession.sparkContext.broadcast(Index([t for _, t in block], q, rate))
-
-        out = out.withColumn("items", F.array_sort(F.array_union("items", finder(ids, shared)("text"))))
-    return out
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs with contaminated, and items: the sorted item_ids that occur in each document."""
+    spark = session(docs)
+    docs = docs.drop("contaminated", "items")
+    none = {"contaminated": F.lit(False), "items": F.array().cast("array<long>")}
+    held, x = [], free_name(docs)
+    for block in blocks(benchmark, block_chars):
+        held.append((list(block.values()), Index(list(block), q, rate)))
+        if len(held) == 2:
+            break
+    if not held:
+        return docs.withColumns(none)
+    if len(held) == 1:
+        return docs.withColumn(x, finder(spark.sparkContext.broadcast(held[0]))("text")).select("*", f"{x}.*").drop(x)
+    # Several blocks: one is in memory at a time, and gives out the numbers of the rows it hits.
+    row = free_name(docs, "row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
+    with scratch(spark) as write:
+        hits = None
+        for block in blocks(benchmark, block_chars):
+            shared = spark.sparkContext.broadcast((list(block.values()), Index(list(block), q, rate)))
+            some = write(numbered.select(row, finder(shared)("text").alias(x)).where(f"{x}.contaminated").select(row, f"{x}.items"))
+            hits = some if hits is None else hits.unionByName(some)
+            shared.destroy()
+        hits = staged(hits.groupBy(row).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "decontamination-hits")
+    out = numbered.join(hits, row, "left")
+    return out.withColumns({"contaminated": F.col("items").isNotNull(), "items": F.coalesce("items", none["items"])}).select(*docs.columns, "contaminated", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark item."""
-    return contaminated(docs, benchmark).where(F.size("items") == 0).drop("items")
+    """The documents without any benchmark item, with the columns they had."""
+    flag = contaminated(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), benchmark)
+    return flag.where("not contaminated").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and items of the contaminated documents."""
     out = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.where(F.size("items") > 0).select("doc_id", "items")
+    return out.where("contaminated").select("doc_id", "items")
