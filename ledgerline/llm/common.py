@@ -94,9 +94,10 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def row_key(*names: str) -> Column:
+def row_key(*values: str | Column) -> Column:
     """64-bit key of a row's content, nulls told apart from empty strings."""
-    return F.xxhash64(*[F.col(n) for n in names], *[F.col(n).isNull() for n in names])
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def crc_mod(name: str, modulus: int) -> Column:

@@ -8,7 +8,9 @@ is one, so memory does not grow with its length.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -89,6 +91,17 @@ class Pair(NamedTuple):
     unseen: float
 
 
+def packed(pair: Pair) -> bytes:
+    """The models compressed, as they are broadcast: most slots are empty."""
+    return zlib.compress(pickle.dumps(pair), 1)
+
+
+@lru_cache(maxsize=1)
+def unpacked(held: bytes) -> Pair:
+    """Kept by a worker for as long as it is given the same models."""
+    return pickle.loads(zlib.decompress(held))
+
+
 NAMES = ("spelling, whole text", "most toxic spelling of a word", "toxic spellings", "words, whole text", "toxic words over 1", "toxic words over 2", "words")
 
 

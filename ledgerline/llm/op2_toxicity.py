@@ -12,7 +12,7 @@ distinct text once:
 
 Counts, discounts and probabilities are tables in Spark that grow with the labelled rows. What
 is broadcast is their log ratios by hash: 2^22 grams, as many contexts, and 2^23 words at
-most, half-precision floats, 32 MB in all however much was counted. Grams or words
+most, half-precision floats, compressed, 33 MB in all however much was counted. Grams or words
 that share a slot share their mean ratio by count; no text and no expression is left out.
 
 A document is scored by the length-normalised log-likelihood ratios of its whole text and what
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_rates, crc_mod, free_name, hash_fraction, maybe_among, scratch, session, table, text_or_empty
-from .knmodel import GRAM_BITS, NAMES, ORDER, WORD_BITS, Pair, features, grams, logistic, pieces, spelled, words
+from .knmodel import GRAM_BITS, NAMES, ORDER, WORD_BITS, Pair, features, grams, logistic, packed, pieces, spelled, unpacked, words
 
 FIT, THRESHOLD, SEED, FOLDS = 3000, 0.7, 11, 3
 #: A model for each fold, counted without it, and the last counted from all.
@@ -214,7 +214,11 @@ def fitted(texts: DataFrame, staged):
     def pair(m: int) -> Pair:
         return Pair(array(tables[0], m, GRAM_BITS, np.nan), array(tables[1], m, GRAM_BITS, 0.0), array(tables[2], m, WORD_BITS, np.nan), unseen[m])
 
-    fits = [score_features(texts.where(F.col("fit") & (F.col("fold") == f)), pair(f)).select("toxic", "x").toPandas() for f in range(FOLDS)]
+    fits = []
+    for f in range(FOLDS):
+        shared = texts.sparkSession.sparkContext.broadcast(packed(pair(f)))
+        fits.append(score_features(texts.where(F.col("fit") & (F.col("fold") == f)), shared).select("toxic", "x").toPandas())
+        shared.destroy()
     fit = pd.concat(fits)
     if fit["toxic"].nunique() < 2:
         return None
@@ -222,15 +226,16 @@ def fitted(texts: DataFrame, staged):
     # Classes weigh what they do among all labelled texts, not what the sample keeps of them.
     weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
     weight /= weight.mean()
-    return pair(FOLDS), logistic(np.array(fit["x"].tolist()), y, weight)
+    return packed(pair(FOLDS)), logistic(np.array(fit["x"].tolist()), y, weight)
 
 
-def score_features(rows: DataFrame, pair: Pair, name: str = "x") -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(pair)
+def score_features(rows: DataFrame, shared, name: str = "x") -> DataFrame:
+    """rows with the features of their texts by the packed models that are broadcast."""
 
     @F.pandas_udf("array<double>")
     def x(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t, shared.value))
+        pair = unpacked(shared.value)
+        return texts.map(lambda t: features(t, pair))
 
     return rows.withColumn(name, x("text"))
 
@@ -241,11 +246,12 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     pair, (mean, scale, b) = model
+    shared = docs.sparkSession.sparkContext.broadcast(pair)
     weight = b[:-1] / scale
     logit, x = F.lit(float(b[-1] - (mean * weight).sum())), free_name(docs)
     for i in range(len(NAMES)):
         logit = logit + F.col(x)[i] * float(weight[i])
-    out = score_features(docs, pair, x).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop(x)
+    out = score_features(docs, shared, x).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop(x)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
