@@ -30,6 +30,9 @@ BLOCKS = set("address article aside blockquote body center dd details dialog dir
 #: Tags whose text is never shown as running text.
 SILENT = set("script style head title noscript template svg math iframe object canvas audio video textarea button select".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Blocks that never stand within a head, control or drawing: they close one that was left open.
+OUTSIDE = set("body article section main p h1 h2 h3 h4 h5 h6 ul ol table blockquote".split())
+LEFT_OPEN = SILENT - set("script style template".split())
 #: Open tags that a new block closes implicitly.
 CLOSED_BY_BLOCK = {"p"}
 #: Words in class names, ids and roles that tell boilerplate and content when pages are labelled.
@@ -66,6 +69,11 @@ class Blocks(HTMLParser):
         if tag == "br":
             self.text.append(" ")
             return
+        if tag in OUTSIDE:
+            at = next((i for i, (name, _) in enumerate(self.open) if name in LEFT_OPEN), None)
+            if at is not None:
+                self.flush()
+                self.close_to(at)
         if tag in BLOCKS:
             self.flush()
             for at in range(len(self.open) - 1, -1, -1):
@@ -92,6 +100,11 @@ class Blocks(HTMLParser):
             if tag not in BLOCKS and self.open[at][0] in BLOCKS:
                 break
 
+    def parse_marked_section(self, i, report=1):
+        """Any `<![...>` is a comment, whatever stands in it."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         if not self.silent:
             self.text.append(data)
@@ -109,7 +122,7 @@ def blocks(html: str | None) -> list[tuple[list[str], list[str], str, int]]:
 def mark(block) -> int:
     """1 content, 0 boilerplate, by plain markup."""
     tags, words, _, _ = block
-    if BAD_TAGS & set(tags[:-1] if tags and tags[-1] in ("h1",) else tags) or BAD & set(words):
+    if BAD_TAGS & set(tags) or BAD & set(words):
         return 0
     return int("article" in tags or "main" in tags or bool(GOOD & set(words)))
 

@@ -20,21 +20,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, session, table
+from .common import crc_mod, free_name, session, table
 from .ngrams import counts, label_counts
 
 TIE = 0.1
 
 
 def codewords(n: int, length: int = 32) -> np.ndarray:
-    """n rows of +1 and -1. Up to 5 languages: each split of them in two, once. More: the
-    random code, of some drawn with a fixed seed, whose nearest rows differ most."""
+    """n rows of +1 and -1; each column has both. Up to 5 languages: each split of them in two, once.
+    More: the random code, of some drawn with a fixed seed, whose nearest rows differ most."""
     if n <= 5:
         splits = [s for k in range(1, n) for s in combinations(range(n), k) if 0 in s]
         return np.array([[1 if i in s else -1 for s in splits] for i in range(n)]).reshape(n, -1)
     rng, best = np.random.default_rng(7), None
     for _ in range(50):
         code = rng.choice([-1, 1], (n, length))
+        same = np.flatnonzero(np.abs(code.sum(0)) == n)
+        code[rng.integers(n, size=len(same)), same] *= -1
         near = min((code[i] != code[j]).sum() for i, j in combinations(range(n), 2))
         if best is None or near > best[0]:
             best = near, code
@@ -55,7 +57,7 @@ def train(rows: DataFrame):
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
-    """docs with lang_pred, score and ambiguous."""
+    """docs with lang_pred, score and ambiguous; columns of those names are replaced."""
     session(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -78,7 +80,9 @@ def predict(docs: DataFrame, model) -> DataFrame:
             out.append((langs[best], float(p[best]), bool(len(rest) and p[best] - rest.max() < TIE)))
         return pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
-    return docs.withColumn("x", decoded("text")).select("*", "x.*").drop("x")
+    x = free_name(docs)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    return docs.withColumn(x, decoded("text")).select(*kept, f"{x}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def labelled(docs: DataFrame, labels: DataFrame, cap: int = CAP) -> DataFrame:
     documents of each class outside the held-out fold."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rate = bounded_rates(marks, "quality", cap)
-    picks = marks.where(hash_fraction(SEED, F.col("doc_id")) < rate).select("doc_id", "quality", (1 / rate).alias("weight"))
+    picks = marks.where(hash_fraction(SEED, F.col("doc_id")) < rate).select("doc_id", "quality", F.try_divide(F.lit(1.0), rate).alias("weight"))
     # About `cap` ids of each of two classes: a proven bound for the broadcast.
     return docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("text", "quality", "weight")
 

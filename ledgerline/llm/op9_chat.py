@@ -53,7 +53,7 @@ def problems(name: Column, args: Column, schemas: dict) -> Column:
 
 def linked(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, role, rank_turn, rank_step, call_turn, orphan, problems, json."""
-    text = F.trim("text")
+    text = F.regexp_replace("text", r"^[\x20\t\r\n]++", "")
     calls = F.when(text.startswith("{"), F.from_json(F.get_json_object(text, "$.tool_calls"), CALLS))
     answers = F.when(text.startswith("{"), F.get_json_object(text, "$.tool_call_id"))
     rows = messages.select("conv_id", "turn", "role", "text", calls.alias("calls"), answers.alias("answers"))
