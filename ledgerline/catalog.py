@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gate, incremental, merchants, reconcile, silver, velocity
+from .operators import checks, evaluation, gate, incremental, merchants, reconcile, silver, velocity
 from .plans import reports
 from .sources.events import bronze, duckdb_bronze
 
@@ -47,8 +47,12 @@ class Tables:
 
 def incremental_load(t: Tables) -> DataFrame:
     """Silver after the first batch, then the rows above its watermark merged in."""
-    first = t.auths.where("_source_file = 'batch_1.parquet'")
-    return incremental.upsert(first, incremental.newer(t.auths, first), "transaction_id").groupBy("_source_file").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    old = F.col("_source_file") == "batch_1.parquet"
+    # The target has the first batch, marked by other amounts, and early versions of some later rows.
+    money = F.when(old, F.col("amount") + 5).otherwise(F.col("amount") + 1).cast("decimal(12,2)")
+    first = t.auths.where(old | (F.col("country") == "SG")).withColumns({"amount": money, "_ingested_at": F.least("_ingested_at", F.lit("2024-01-16").cast("timestamp"))})
+    new = incremental.newer(t.auths, first)
+    return incremental.upsert(first, new.unionByName(new.where("country = 'SG'")), "transaction_id").select("transaction_id", "amount", "_source_file")
 
 
 def quarantine_reasons(t: Tables) -> DataFrame:
@@ -70,18 +74,33 @@ def orphans_in_quarantine(t: Tables) -> DataFrame:
     return o.join(q, F.col("auth_transaction_id") == F.col("q_id"), "left").groupBy(F.col("q_id").isNotNull().alias("auth_quarantined")).agg(F.count("*").alias("n"))
 
 
+def scored(t: Tables) -> DataFrame:
+    """All rows with their anomaly score, by a forest grown on the train split."""
+    rows = evaluation.split(t.features)
+    train = rows.where("split = 'train'")
+    fill = evaluation.medians(train)
+    return evaluation.score(evaluation.impute(rows, fill), evaluation.fit(evaluation.impute(train, fill)))
+
+
+def hybrid(t: Tables) -> DataFrame:
+    """Confusion of rules, model and both on the test split, with the promotion floor."""
+    rows = scored(t)
+    flags = evaluation.flag(rows, evaluation.cutoff(rows.where("split = 'train'"))).where("split = 'test'")
+    return evaluation.meets_floor(reports.confusion_of(flags, ["any_rule", "model_flag", "combined_flag"]))
+
+
 SPARK = {
     "bronze_events": lambda t: t.bronze,
     "silver_authorizations": lambda t: t.auths,
     "silver_settlements": lambda t: t.settlements,
-    "quarantine": lambda t: t.quarantine.drop("quarantine_key", "amount"),
+    "quarantine": lambda t: t.quarantine,
     "quarantine_reasons": quarantine_reasons,
     "reconciliation": lambda t: t.recon,
     "velocity_features": lambda t: t.features,
     "rule_flags": lambda t: t.flags.select("transaction_id", "rule_velocity", "rule_geo", "rule_amount", "any_rule", "rules_fired"),
     "merchants_current": lambda t: merchants.merchants_current(t.auths),
     "merchant_history": lambda t: merchants.merchant_history(t.auths),
-    "merchant_as_of": lambda t: merchants.as_of(t.auths, merchants.merchant_history(t.auths)).groupBy("merchant_id", "version_name").agg(F.count("*").alias("n")),
+    "merchant_as_of": lambda t: merchants.as_of(t.auths, merchants.merchant_history(t.auths)).select("transaction_id", "merchant_id", "version_name"),
     "quality_gate": lambda t: gate.gate(t.recon, t.features),
     "recon_distribution": lambda t: reports.distribution(t.recon),
     "break_summary": lambda t: reports.break_summary(t.recon),
@@ -93,6 +112,15 @@ SPARK = {
     "incremental_load": incremental_load,
     "no_rows_dropped": not_dropped,
     "orphans_in_quarantine": orphans_in_quarantine,
+    "incremental_empty_target": lambda t: incremental.newer(t.auths, t.auths.where("false")).select("transaction_id"),
+    "data_tests": lambda t: checks.suite(t.bronze, t.auths, t.settlements, t.quarantine, t.recon, t.features, merchants.merchant_history(t.auths)),
+    "fraud_rate_by_split": lambda t: evaluation.rate_by_split(evaluation.split(t.features)),
+    "train_medians": lambda t: evaluation.medians(evaluation.split(t.features).where("split = 'train'")),
+    "imputed_features": lambda t: evaluation.impute(t.features, evaluation.medians(evaluation.split(t.features).where("split = 'train'"))).select("transaction_id", *evaluation.NUMERIC),
+    "recall_long": lambda t: evaluation.recall_long(t.flags),
+    "anomaly_scores": lambda t: scored(t).select("transaction_id", "split", "anomaly_score"),
+    "threshold_sweep": lambda t: evaluation.sweep(scored(t).where("split = 'test'")),
+    "hybrid_confusion": hybrid,
 }
 
 
@@ -109,7 +137,8 @@ _REASONS = """list_filter([
   case when amount is null or amount <= 0 then 'NONPOSITIVE_AMOUNT' end,
   case when currency is null or currency not in ('SGD','MYR','IDR','THB','USD','GBP','AUD') then 'UNKNOWN_CURRENCY' end,
   case when try_cast(event_time as timestamp) is null then 'UNPARSEABLE_EVENT_TIME' end,
-  case when event_type is null or event_type not in ('AUTH','SETTLEMENT') then 'UNKNOWN_EVENT_TYPE' end], lambda v: v is not null)"""
+  case when event_type is null or event_type not in ('AUTH','SETTLEMENT') then 'UNKNOWN_EVENT_TYPE' end,
+  case when amount is not null and try_cast(amount as decimal(12,2)) is null then 'AMOUNT_OVERFLOW' end], lambda v: v is not null)"""
 _CTES = {
     "bronze": duckdb_bronze(),
     "checked": f"select *, {_REASONS} as rs from bronze",
@@ -131,12 +160,13 @@ _CTES = {
       when recon_status = 'AMOUNT_MISMATCH' and pct and over_ then 'PCT_AND_CEILING' when recon_status = 'AMOUNT_MISMATCH' and pct then 'PCT_EXCEEDED' when recon_status = 'AMOUNT_MISMATCH' then 'CEILING_EXCEEDED'
       when recon_status = 'AUTH_NO_SETTLEMENT' then 'SETTLEMENT_TIMEOUT' when recon_status = 'ORPHAN_SETTLEMENT' then 'NO_MATCHING_AUTH' end as break_reason from recon1""",
     "win": """select *, count(*) over h - 1 as n1, count(*) over d - 1 as n24, sum(amount) over d - amount as s24, count(*) over e - 1 as n, count(distinct country) over b as countries,
-      lag(u) over r as prev, lag(case when card_present then u end ignore nulls) over r as pu, lag(case when card_present then lat end ignore nulls) over r as plat, lag(case when card_present then lon end ignore nulls) over r as plon
+      lag(u) over r as prev, lag(case when card_present then u end ignore nulls) over r as pu, lag(case when card_present then lat end ignore nulls) over r as plat, lag(case when card_present then lon end ignore nulls) over r as plon,
+      lag(case when card_present then is_fraud end ignore nulls) over r as pfraud, lag(case when card_present then _source_file end ignore nulls) over r as pfile
       from (select *, cast(floor(epoch(event_time)) as bigint) as u from auths)
       window h as (partition by card_id_hash order by u range between 3600 preceding and current row), d as (partition by card_id_hash order by u range between 86400 preceding and current row),
-      e as (partition by card_id_hash order by u range between unbounded preceding and current row), b as (partition by card_id_hash order by u range between 86400 preceding and 1 preceding), r as (partition by card_id_hash order by u, transaction_id)""",
+      e as (partition by card_id_hash order by u range between unbounded preceding and current row), b as (partition by card_id_hash order by u range between 86400 preceding and 1 preceding), r as (partition by card_id_hash order by u, event_time, transaction_id)""",
     "feats": """select *, case when n24 > 0 then cast(s24 as double) / n24 end as avg24, case when card_present and pu is not null then
-      2 * 6371 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) / nullif((u - pu) / 3600.0, 0) end as speed from win""",
+      2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) / nullif((u - pu) / 3600.0, 0) end as speed from win""",
     "flags": """select *, coalesce(n1 > 2, false) as rule_velocity, coalesce(speed > 1500, false) as rule_geo, coalesce(cast(amount as double) / nullif(avg24, 0) > 15, false) as rule_amount from feats""",
     "merch": "select * from (select *, row_number() over (partition by merchant_id order by event_time desc, transaction_id desc) as rn from auths where merchant_id is not null) where rn = 1",
     "merch1": "select * from (select *, row_number() over (partition by merchant_id order by event_time desc, transaction_id desc) as rn from auths where merchant_id is not null and _source_file = 'batch_1.parquet') where rn = 1",
@@ -156,7 +186,7 @@ _ANY = "(rule_velocity or rule_geo or rule_amount)"
 _FIRED = "coalesce(nullif(concat_ws(', ', case when rule_velocity then 'velocity' end, case when rule_geo then 'geo' end, case when rule_amount then 'amount' end), ''), '-')"
 _METRICS = {
     "recon_row_count": ("cast(count(*) as double) from recon", "o >= 1"),
-    "recon_status_invalid_count": ("cast(0 as double)", "o = 0"),
+    "recon_status_invalid_count": ("cast(count(*) filter (recon_status not in ('AUTH_DECLINED','AMOUNT_MISMATCH','MATCHED','AUTH_NO_SETTLEMENT','PENDING_SETTLEMENT','ORPHAN_SETTLEMENT')) as double) from recon", "o = 0"),
     "matched_share_of_matured": ("sum(case when is_matured and recon_status = 'MATCHED' then 1 else 0 end) / nullif(cast(sum(case when is_matured then 1 else 0 end) as double), 0) from recon", "o between 0.6 and 0.98"),
     "orphan_settlement_share": ("sum(case when recon_status = 'ORPHAN_SETTLEMENT' then 1 else 0 end) / nullif(cast(count(*) as double), 0) from recon", "o >= 0 and o < 0.03"),
     "fraud_rate": ("avg(cast(is_fraud as double)) from feats", "o between 0.005 and 0.05"),
@@ -166,18 +196,40 @@ _METRICS = {
 _GATE = " union all ".join(f"select '{k}' as expectation, o, o is null or ({test}) as passed from (select {m.replace(' from ', ' as o from ', 1) if ' from ' in m else m + ' as o'})" for k, (m, test) in _METRICS.items())
 _CONFUSION = " union all ".join(f"select '{k}' as strategy, {v} as f, is_fraud = 1 as y from flags" for k, v in (("rule_velocity", "rule_velocity"), ("rule_geo", "rule_geo"), ("rule_amount", "rule_amount"), ("any_rule", _ANY)))
 
+_TESTS = {
+    "unique_transaction_id": "select transaction_id from auths where transaction_id is not null group by 1 having count(*) > 1",
+    "not_null_card_id_hash": "select 1 from auths where card_id_hash is null",
+    "accepted_currency": "select 1 from auths where currency not in ('SGD','MYR','IDR','THB','USD','GBP','AUD')",
+    "accepted_recon_status": "select 1 from recon where recon_status not in ('AUTH_DECLINED','AMOUNT_MISMATCH','MATCHED','AUTH_NO_SETTLEMENT','PENDING_SETTLEMENT','ORPHAN_SETTLEMENT')",
+    "settlement_has_authorization": "select 1 from settlements s where auth_transaction_id is not null and not exists (select 1 from auths a where a.transaction_id = s.auth_transaction_id)",
+    "break_reason_iff_break": "select 1 from recon where is_break <> (break_reason is not null)",
+    "declined_is_no_break": "select 1 from recon where recon_status = 'AUTH_DECLINED' and is_break",
+    "matched_within_ceiling": "select 1 from recon where recon_status = 'MATCHED' and abs(amount_diff) > 100",
+    "no_bronze_row_dropped": "select 1 from bronze b where transaction_id is not null and transaction_id not in (select transaction_id from auths union all select transaction_id from settlements union all select transaction_id from quarantine where transaction_id is not null)",
+    "no_history_no_recency": "select 1 from feats where n = 0 and (prev is not null or avg24 is not null)",
+    "normal_speed_within_ceiling": "select 1 from feats where is_fraud = 0 and speed > 900 and pfraud = 0 and pfile = _source_file",
+    "one_open_version": "select merchant_id from hist where valid_to is null group by 1 having count(*) > 1",
+    "quarantine_disjoint": "select distinct q.transaction_id from quarantine q join (select transaction_id from auths union all select transaction_id from settlements) s using (transaction_id)",
+    "hourly_count_excludes_self": "select 1 from feats join (select card_id_hash, count(*) as total from feats group by 1) using (card_id_hash) where n1 >= total",
+    "daily_not_less_than_hourly": "select 1 from feats where n24 < n1",
+}
+_WARN = ("settlement_has_authorization", "normal_speed_within_ceiling")
+_SUITE = " union all ".join(f"select '{k}' as test, '{'warn' if k in _WARN else 'error'}' as severity, count(*) as failures, count(*) = 0 as passed from ({v})" for k, v in _TESTS.items())
+_SPLIT = "(select *, (u - prev) / 60.0 as minutes, case when cast('0x' || substr(md5(concat(transaction_id, ':42')), 1, 8) as bigint) < 3221225472 then 'train' else 'test' end as split from feats)"
+_MEDIANS = f"(select median(minutes) as m1, median(avg24) as m2 from {_SPLIT} where split = 'train')"
+
 ORACLES = {
     "bronze_events": duck("select * replace (round(lat, 6) as lat, round(lon, 6) as lon, round(amount, 6) as amount, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from bronze"),
     "silver_authorizations": duck(f"select * replace (round(lat, 6) as lat, round(lon, 6) as lon, {_MONEY}, epoch_us(event_time) as event_time, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from auths"),
     "silver_settlements": duck(f"select * replace ({_MONEY}, epoch_us(event_time) as event_time, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from settlements"),
-    "quarantine": duck(f"select * exclude (rs, card_id, amount) replace (round(lat, 6) as lat, round(lon, 6) as lon, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at), array_to_string(rs, ',') as quarantine_reasons, epoch_us(timestamp '{AS_OF}') as quarantined_at, sha256(card_id) as card_id_hash from quarantine"),
+    "quarantine": duck(f"select * exclude (rs, card_id) replace (round(amount, 6) as amount, round(lat, 6) as lat, round(lon, 6) as lon, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at), array_to_string(rs, ',') as quarantine_reasons, epoch_us(timestamp '{AS_OF}') as quarantined_at, sha256(card_id) as card_id_hash, sha256(concat_ws('||', coalesce(transaction_id, ''), coalesce(event_type, ''), coalesce(event_time, ''), coalesce(card_id, ''), coalesce(merchant_id, ''), coalesce(cast(amount as varchar), ''), coalesce(currency, ''), coalesce(_source_file, ''))) as quarantine_key from quarantine"),
     "quarantine_reasons": duck("select reason, count(*) as n from (select unnest(rs) as reason from quarantine) group by 1"),
     "reconciliation": duck("select recon_key, auth_transaction_id, settlement_transaction_id, card_id_hash, round(cast(auth_amount as double), 6) as auth_amount, round(cast(settlement_amount as double), 6) as settlement_amount, round(cast(amount_diff as double), 6) as amount_diff, round(amount_diff_pct, 6) as amount_diff_pct, epoch_us(auth_time) as auth_time, epoch_us(settlement_time) as settlement_time, settlement_lag_minutes, recon_status, is_break, break_reason, is_matured from recon"),
     "velocity_features": duck(f"select transaction_id, card_id_hash, epoch_us(event_time) as event_time, {_MONEY}, n1 as txn_count_1h, n24 as txn_count_24h, round(cast(s24 as double), 6) as amount_sum_24h, round(avg24, 6) as amount_avg_24h, round(cast(amount as double) / nullif(avg24, 0), 6) as amount_vs_avg_24h_ratio, countries as distinct_countries_24h, round((u - prev) / 60.0, 6) as minutes_since_last_txn, round(speed, 6) as implied_speed_kmh, card_present as is_card_present, channel = 'ONLINE' as is_online, mcc in ('5967','5732','4511') as is_high_risk_mcc, auth_code <> '00' as was_declined, n > 0 as has_history, cast(is_fraud as bigint) as is_fraud, fraud_type from feats"),
     "rule_flags": duck(f"select transaction_id, rule_velocity, rule_geo, rule_amount, {_ANY} as any_rule, {_FIRED} as rules_fired from flags"),
     "merchants_current": duck("select merchant_id, merchant_name, mcc, mcc_description, country, epoch_us(event_time) as last_seen_at from merch"),
     "merchant_history": duck("select * replace (epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to) from hist"),
-    "merchant_as_of": duck("select a.merchant_id, h.merchant_name as version_name, count(*) as n from auths a left join hist h on a.merchant_id = h.merchant_id and a.event_time >= h.valid_from and (h.valid_to is null or a.event_time < h.valid_to) group by 1, 2"),
+    "merchant_as_of": duck("select a.transaction_id, a.merchant_id, h.merchant_name as version_name from auths a left join hist h on a.merchant_id = h.merchant_id and a.event_time >= h.valid_from and (h.valid_to is null or a.event_time < h.valid_to)"),
     "quality_gate": duck(f"select expectation, round(o, 6) as observed, passed, min(passed) over () as overall_success from ({_GATE})"),
     "recon_distribution": duck("select recon_status, is_break, is_matured, count(*) as n from recon group by all"),
     "break_summary": duck("select count(*) as total, cast(sum(case when is_break then 1 else 0 end) as bigint) as breaks, round(sum(case when is_break then 1 else 0 end) / cast(count(*) as double), 6) as break_rate from recon"),
@@ -186,7 +238,13 @@ ORACLES = {
     "daily_volume": duck("select cast(cast(event_time as date) as varchar) as day, event_type, count(*) as n from (select event_time, event_type from auths union all select event_time, event_type from settlements) group by 1, 2"),
     "daily_quarantine": duck("select day, coalesce(c, 0) as clean, coalesce(b, 0) as quarantined, round(coalesce(b, 0) / cast(coalesce(b, 0) + coalesce(c, 0) as double), 6) as quarantine_rate from (select cast(cast(_ingested_at as date) as varchar) as day, count(*) as c from (select _ingested_at from auths union all select _ingested_at from settlements) group by 1) x full outer join (select cast(cast(_ingested_at as date) as varchar) as day, count(*) as b from quarantine group by 1) y using (day)"),
     "latest_flagged": duck(f"select transaction_id, substr(card_id_hash, 1, 12) as card, {_FIRED} as rules_fired, coalesce(fraud_type, '-') as fraud_type from flags where {_ANY} order by event_time desc, transaction_id desc limit 50"),
-    "incremental_load": duck("select _source_file, count(*) as n, round(cast(sum(amount) as double), 6) as amount from auths group by 1"),
+    "incremental_load": duck("select transaction_id, round(cast(case when _source_file = 'batch_1.parquet' then amount + 5 else amount end as double), 6) as amount, _source_file from auths"),
     "no_rows_dropped": duck("select count(*) as dropped from bronze b where transaction_id is not null and transaction_id not in (select transaction_id from auths) and transaction_id not in (select transaction_id from settlements) and transaction_id not in (select transaction_id from quarantine where transaction_id is not null)"),
     "orphans_in_quarantine": duck("select q.transaction_id is not null as auth_quarantined, count(*) as n from recon r left join (select distinct transaction_id from quarantine) q on r.of_auth = q.transaction_id where r.recon_status = 'ORPHAN_SETTLEMENT' group by 1"),
+    "incremental_empty_target": duck("select transaction_id from auths"),
+    "data_tests": duck(_SUITE),
+    "fraud_rate_by_split": duck(f"select split, is_fraud, count(*) as n, round(count(*) / sum(count(*)) over (partition by split), 6) as share from (select split, cast(is_fraud as bigint) as is_fraud from {_SPLIT}) group by 1, 2"),
+    "train_medians": duck(f"select round(m1, 6) as minutes_since_last_txn, round(m2, 6) as amount_avg_24h from {_MEDIANS}"),
+    "imputed_features": duck(f"select transaction_id, round(cast(amount as double), 6) as amount, cast(n1 as double) as txn_count_1h, cast(n24 as double) as txn_count_24h, round(coalesce(cast(s24 as double), 0.0), 6) as amount_sum_24h, round(coalesce(avg24, m2), 6) as amount_avg_24h, round(coalesce(cast(amount as double) / nullif(avg24, 0), 1.0), 6) as amount_vs_avg_24h_ratio, round(coalesce(minutes, m1), 6) as minutes_since_last_txn, cast(countries as double) as distinct_countries_24h, round(coalesce(speed, 0.0), 6) as implied_speed_kmh from {_SPLIT} cross join {_MEDIANS}"),
+    "recall_long": duck(f"select fraud_type, s as strategy, round(avg(case when f then 1.0 else 0.0 end), 6) as recall from (select fraud_type, unnest(['rule_velocity', 'rule_geo', 'rule_amount', 'any_rule']) as s, unnest([rule_velocity, rule_geo, rule_amount, {_ANY}]) as f from flags where is_fraud = 1) group by 1, 2"),
 }

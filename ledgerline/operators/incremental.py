@@ -13,9 +13,15 @@ def newer(source: DataFrame, target: DataFrame, column: str = "_ingested_at") ->
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Source rows replace target rows of the same key; columns in `keep` stay as they were."""
+    """Source rows replace target rows of the same key; columns in `keep` stay as they were. Of rows
+    that share a key in the source the last ingested goes in (then by file, then by row hash); null
+    keys are all kept."""
     if target.schema.simpleString() != source.schema.simpleString():
         raise ValueError("schema drift")
+    names = source.columns
+    order = F.struct(*[c for c in ("_ingested_at", "_source_file") if c in names], F.xxhash64(*names))
+    last = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("row")).select("row.*")
+    source = last.unionByName(source.where(F.col(key).isNull()))
     if keep:
         old = target.select(key, *[F.col(c).alias(f"old_{c}") for c in keep])
         kept = source.join(old, key, "left")
@@ -25,7 +31,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, keep: tuple[str, ...]
 
 def snapshot(history: DataFrame | None, current: DataFrame, key: str, checked: tuple[str, ...], now: str) -> DataFrame:
     """Type-2 history: a change of `checked` (null-safe) closes the open version and opens a new
-    one; new keys open one; keys that are gone stay open. One join on the key."""
+    one; new keys open one; keys that are gone stay open. One full outer join on the key."""
     at = F.lit(now).cast("timestamp")
     fresh = current.withColumns({"valid_from": at, "valid_to": F.lit(None).cast("timestamp")})
     if history is None:
@@ -34,10 +40,10 @@ def snapshot(history: DataFrame | None, current: DataFrame, key: str, checked: t
     for c in checked:
         same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
     opened = history.where("valid_to is null").alias("o")
-    pair = opened.join(current.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "left")
-    changed = F.col(f"n.{key}").isNotNull() & ~same
-    old = pair.select("o.*", changed.alias("changed"))
-    closed = old.withColumn("valid_to", F.when(F.col("changed"), at)).drop("changed")
-    stay = opened.join(current.alias("n"), (F.col(f"o.{key}") == F.col(f"n.{key}")) & same, "inner").select(F.col(f"o.{key}").alias(key))
-    added = fresh.join(stay, key, "left_anti")
-    return history.where("valid_to is not null").unionByName(closed).unionByName(added.select(*history.columns))
+    pair = opened.join(fresh.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    had, has = F.col("o.valid_from").isNotNull(), F.col("n.valid_from").isNotNull()
+    ends = F.when(had & has & ~same, at)
+    old = F.when(had, F.struct(*[F.col(f"o.{c}") if c != "valid_to" else ends.alias(c) for c in history.columns]))
+    new = F.when(has & (~had | ~same), F.struct(*[F.col(f"n.{c}") for c in history.columns]))
+    rows = pair.select(F.explode(F.array_compact(F.array(old, new))).alias("row")).select("row.*")
+    return history.where("valid_to is not null").unionByName(rows)

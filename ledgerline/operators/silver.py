@@ -15,6 +15,11 @@ def event_time() -> Column:
     return F.col("event_time").try_cast("timestamp")
 
 
+def amount() -> Column:
+    """Null where the amount is beyond decimal(12,2)."""
+    return F.col("amount").try_cast("decimal(12,2)")
+
+
 def reasons() -> Column:
     """Names of the checks that a row fails, in declared order; never null."""
     checks = {
@@ -24,6 +29,7 @@ def reasons() -> Column:
         "UNKNOWN_CURRENCY": F.col("currency").isNull() | ~F.col("currency").isin(*CURRENCIES),
         "UNPARSEABLE_EVENT_TIME": event_time().isNull(),
         "UNKNOWN_EVENT_TYPE": F.col("event_type").isNull() | ~F.col("event_type").isin(*EVENT_TYPES),
+        "AMOUNT_OVERFLOW": F.col("amount").isNotNull() & amount().isNull(),
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
 
@@ -33,7 +39,7 @@ def typed(events: DataFrame, kind: str, extra: list[str]) -> DataFrame:
     return rows.select(
         "transaction_id", "event_type", event_time().alias("event_time"), *(["auth_transaction_id"] if kind == "SETTLEMENT" else []),
         F.sha2("card_id", 256).alias("card_id_hash"), "merchant_id", "merchant_name", "mcc", "mcc_description",
-        F.col("amount").cast("decimal(12,2)").alias("amount"), "currency", "country", *extra, "_ingested_at", "_source_file", "is_fraud", "fraud_type",
+        amount().alias("amount"), "currency", "country", *extra, "_ingested_at", "_source_file", "is_fraud", "fraud_type",
     )
 
 

@@ -16,7 +16,7 @@ def card_velocity_features(auths: DataFrame) -> DataFrame:
     order = Window.partitionBy("card_id_hash").orderBy("u")
     hour, day = order.rangeBetween(-3600, 0), order.rangeBetween(-86400, 0)
     ever, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(-86400, -1)
-    at = Window.partitionBy("card_id_hash").orderBy("u", "transaction_id")
+    at = Window.partitionBy("card_id_hash").orderBy("u", "event_time", "transaction_id")
     present = at.rowsBetween(Window.unboundedPreceding, -1)
     last = {f"p_{c}": F.last(F.when(F.col("card_present"), F.col(c)), ignorenulls=True).over(present) for c in ("u", "lat", "lon")}
     rows = auths.withColumn("u", F.unix_timestamp("event_time")).withColumns({

@@ -22,7 +22,11 @@ def recall_by_type(flags: DataFrame) -> DataFrame:
 
 def confusion(flags: DataFrame) -> DataFrame:
     """tp, fp, fn, tn, precision, recall and false positive rate of each rule and of any rule."""
-    long = flags.unpivot(["is_fraud"], ["rule_velocity", "rule_geo", "rule_amount", "any_rule"], "strategy", "flag")
+    return confusion_of(flags, ["rule_velocity", "rule_geo", "rule_amount", "any_rule"])
+
+
+def confusion_of(flags: DataFrame, strategies: list[str]) -> DataFrame:
+    long = flags.unpivot(["is_fraud"], strategies, "strategy", "flag")
     f, y = F.col("flag"), F.col("is_fraud") == 1
     out = long.groupBy("strategy").agg(count_if(f & y).alias("tp"), count_if(f & ~y).alias("fp"), count_if(~f & y).alias("fn"), count_if(~f & ~y).alias("tn"))
     rate = lambda a, b: F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))
