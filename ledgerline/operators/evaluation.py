@@ -130,8 +130,8 @@ def flag(scored: DataFrame, cut: float) -> DataFrame:
 def sweep(scored: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """Confusion counts and rates for the cuts that flag each share of the rows."""
     cuts = scored.agg(F.percentile_approx("anomaly_score", [1 - s for s in shares], 100_000)).first()[0] or [1.0] * len(shares)
-    flags = {f"{s:g}": F.col("anomaly_score") >= c for s, c in zip(shares, cuts)}
-    return confusion_of(scored.withColumns({f"share {k}": v for k, v in flags.items()}), [f"share {k}" for k in flags])
+    flags = {f"share_{round(s * 1000)}_per_mille": F.col("anomaly_score") >= c for s, c in zip(shares, cuts)}
+    return confusion_of(scored.withColumns(flags), list(flags))
 
 
 def meets_floor(metrics: DataFrame, precision: float = 0.05, recall: float = 0.50) -> DataFrame:

@@ -87,6 +87,6 @@ def test_model_queries(spark):
     scores = catalog.QUERIES["anomaly_scores"](spark, DATA)
     assert scores.where("anomaly_score is null").count() == 0 and scores.count() == catalog.QUERIES["velocity_features"](spark, DATA).count()
     out = {r.strategy: r for r in catalog.QUERIES["threshold_sweep"](spark, DATA).collect()}
-    assert len(out) == 7 and all(r.tp + r.fn == out["share 0.01"].tp + out["share 0.01"].fn for r in out.values())
+    assert len(out) == 7 and all(r.tp + r.fn == out["share_10_per_mille"].tp + out["share_10_per_mille"].fn for r in out.values())
     both = {r.strategy: r for r in catalog.QUERIES["hybrid_confusion"](spark, DATA).collect()}
     assert both["combined_flag"].recall >= max(both["any_rule"].recall, both["model_flag"].recall)
