@@ -89,43 +89,49 @@ class Index:
         at = np.concatenate([*[np.arange(len(g), dtype=np.int64) for g in found], np.zeros(0, np.int64)])
         order = np.argsort(codes, kind="stable")
         self.codes, self.item, self.at = codes[order], item[order], at[order]
+        # Fewer shared q-grams than any item needs are none.
+        self.least = max(1, min((int(n) for n, g in zip(self.need, found) if len(g)), default=1))
         self.unique, self.first = np.unique(self.codes, return_index=True)
         self.last = np.append(self.first[1:], len(self.codes))
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Item and diagonal of each shared q-gram, about PAIRS at a time."""
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the shared q-grams, and which q-grams they are."""
         if not len(self.unique) or not len(h):
-            return
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         k = np.searchsorted(self.unique, h)
         k[k == len(self.unique)] = 0
         pos = np.flatnonzero(self.unique[k] == h)
-        k = k[pos]
+        return pos, k[pos]
+
+    def hits(self, pos: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Item and diagonal of each shared q-gram, about PAIRS at a time."""
         n = self.last[k] - self.first[k]
         part = (np.cumsum(n) - n) // PAIRS
-        for to in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(part)) + 1) if len(pos) else ():
-            c, first = n[to], self.first[k[to]]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(pos)]):
+            c, first = n[start:end], self.first[k[start:end]]
             which = np.repeat(first - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
-            yield self.item[which], np.repeat(pos[to], c) - self.at[which]
+            yield self.item[which], np.repeat(pos[start:end], c) - self.at[which]
 
     def regions(self, text: str) -> list[tuple[int, int, int]]:
         """(item, lowest diagonal, highest) of the bands that meet the bound."""
-        h = grams(text, self.q)
-        shared = np.zeros(len(self.items), np.int64)
-        parts = 0
-        for item, _ in self.hits(h):
-            shared += np.bincount(item, minlength=len(self.items))
-            parts += 1
+        pos, k = self.lookup(grams(text, self.q))
+        if len(pos) < self.least:
+            return []
+        few = (self.last[k] - self.first[k]).sum() <= PAIRS
+        held = list(self.hits(pos, k)) if few else None
+        shared = sum(np.bincount(item, minlength=len(self.items)) for item, _ in held or self.hits(pos, k))
         enough = (shared >= self.need) & (shared > 0)
         if not enough.any():
             return []
         base, zero = 1 << 40, 1 << 20
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for item, diagonal in self.hits(h):
+        for item, diagonal in held or self.hits(pos, k):
             keep = enough[item]
             item, diagonal = item[keep], diagonal[keep]
             band = np.floor_divide(diagonal, np.maximum(1, 2 * self.edits[item])) + zero
             key, count = np.unique(np.concatenate([item * base + band, item * base + band - 1]), return_counts=True)
-            if parts > 1:
+            if len(keys):
                 keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
                 counts = np.bincount(back, np.concatenate([counts, count]), len(keys)).astype(np.int64)
             else:
