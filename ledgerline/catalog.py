@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checks, evaluation, gate, incremental, merchants, reconcile, silver, velocity
-from .plans import reports
-from .sources.events import bronze, duckdb_bronze
+from .plans import audits, reports
+from .sources.events import bronze, decode, duckdb_bronze, encode
+from .sources.tables import between
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -82,10 +83,15 @@ def scored(t: Tables) -> DataFrame:
     return evaluation.score(evaluation.impute(rows, fill), evaluation.fit(evaluation.impute(train, fill)))
 
 
+def flagged(t: Tables) -> DataFrame:
+    """The test split with rule, model and combined flags."""
+    rows = scored(t)
+    return evaluation.flag(rows, evaluation.cutoff(rows.where("split = 'train'"))).where("split = 'test'")
+
+
 def hybrid(t: Tables) -> DataFrame:
     """Confusion of rules, model and both on the test split, with the promotion floor."""
-    rows = scored(t)
-    flags = evaluation.flag(rows, evaluation.cutoff(rows.where("split = 'train'"))).where("split = 'test'")
+    flags = flagged(t)
     return evaluation.meets_floor(reports.confusion_of(flags, ["any_rule", "model_flag", "combined_flag"]))
 
 
@@ -121,6 +127,14 @@ SPARK = {
     "anomaly_scores": lambda t: scored(t).select("transaction_id", "split", "anomaly_score"),
     "threshold_sweep": lambda t: evaluation.sweep(scored(t).where("split = 'test'")),
     "hybrid_confusion": hybrid,
+    "scored_sample": lambda t: audits.scored_sample(flagged(t)),
+    "model_recall": lambda t: audits.model_recall(flagged(t), t.auths.where("is_fraud = 1").select("fraud_type").distinct()),
+    "settlement_drift": lambda t: audits.settlement_drift(t.auths, t.settlements),
+    "speed_audit": lambda t: audits.speed_audit(t.auths),
+    "defects_by_file": lambda t: audits.defects_by_file(t.quarantine),
+    "merchant_drift": lambda t: audits.merchant_drift(merchants.merchant_history(t.auths)),
+    "labelled_breaks": lambda t: audits.labelled_breaks(t.recon),
+    "interval_slice": lambda t: decode(encode(between(t.bronze, "2024-01-10", "2024-01-20", "_ingested_at"))).select("transaction_id", "event_time", "amount", "currency"),
 }
 
 
@@ -247,4 +261,12 @@ ORACLES = {
     "train_medians": duck(f"select round(m1, 6) as minutes_since_last_txn, round(m2, 6) as amount_avg_24h from {_MEDIANS}"),
     "imputed_features": duck(f"select transaction_id, round(cast(amount as double), 6) as amount, cast(n1 as double) as txn_count_1h, cast(n24 as double) as txn_count_24h, round(coalesce(cast(s24 as double), 0.0), 6) as amount_sum_24h, round(coalesce(avg24, m2), 6) as amount_avg_24h, round(coalesce(cast(amount as double) / nullif(avg24, 0), 1.0), 6) as amount_vs_avg_24h_ratio, round(coalesce(minutes, m1), 6) as minutes_since_last_txn, cast(countries as double) as distinct_countries_24h, round(coalesce(speed, 0.0), 6) as implied_speed_kmh from {_SPLIT} cross join {_MEDIANS}"),
     "recall_long": duck(f"select fraud_type, s as strategy, round(avg(case when f then 1.0 else 0.0 end), 6) as recall from (select fraud_type, unnest(['rule_velocity', 'rule_geo', 'rule_amount', 'any_rule']) as s, unnest([rule_velocity, rule_geo, rule_amount, {_ANY}]) as f from flags where is_fraud = 1) group by 1, 2"),
+    "settlement_drift": duck("select mcc, band, n, round(n / sum(n) over (partition by mcc), 6) as share from (select a.mcc, case when s.amount = a.amount then 'exact' when abs(s.amount - a.amount) * 20 <= a.amount then 'small' when s.amount > a.amount then 'tip' else 'below' end as band, count(*) as n from auths a join settlements s on s.auth_transaction_id = a.transaction_id where a.auth_code = '00' group by 1, 2)"),
+    "speed_audit": duck("""select transaction_id, c <> country as cross_country, round(km, 3) as km, round(hours, 4) as hours from (select *, 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2)))) as km, (epoch_us(event_time) - epoch_us(was)) / 3.6e9 as hours
+      from (select *, lag(country) over w as c, lag(lat) over w as y, lag(lon) over w as x, lag(card_present) over w as cp, lag(event_time) over w as was from auths window w as (partition by card_id_hash order by event_time, transaction_id)))
+      where was is not null and (c <> country or (cp and card_present)) and km > 900 * hours"""),
+    "defects_by_file": duck("select _source_file, reason, count(*) as n from (select _source_file, unnest(rs) as reason from quarantine) group by 1, 2"),
+    "merchant_drift": duck("select * from (select merchant_id, count(*) as versions, coalesce(min(merchant_name) <> max(merchant_name), false) as merchant_name_changed, coalesce(min(mcc) <> max(mcc), false) as mcc_changed from hist group by 1) where merchant_name_changed or mcc_changed"),
+    "labelled_breaks": duck("select recon_status, case when is_break then 'Break' else 'Clean' end as outcome, case when is_matured then 'Matured' else 'Pending maturity' end as maturity, count(*) as n from recon group by all"),
+    "interval_slice": duck("select transaction_id, event_time, round(amount, 6) as amount, currency from bronze where _ingested_at >= timestamp '2024-01-10' and _ingested_at < timestamp '2024-01-20'"),
 }

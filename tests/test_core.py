@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ledgerline import catalog
 from ledgerline.functions.geo import haversine_km
 from ledgerline.operators import checks, evaluation, gate_log, incremental, silver
+from ledgerline.plans import audits
+from ledgerline.sources import events, tables
+from ledgerline.streaming.ingest import load_new_files
+from ledgerline.streaming.transform import transform_new_rows
 
 DATA = "/root/testdata/sf0.001"
 ROW = "k string, v int, _ingested_at string, _source_file string"
@@ -90,3 +94,48 @@ def test_model_queries(spark):
     assert len(out) == 7 and all(r.tp + r.fn == out["share_10_per_mille"].tp + out["share_10_per_mille"].fn for r in out.values())
     both = {r.strategy: r for r in catalog.QUERIES["hybrid_confusion"](spark, DATA).collect()}
     assert both["combined_flag"].recall >= max(both["any_rule"].recall, both["model_flag"].recall)
+
+
+def test_intervals_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:59:59"), ("b", "2024-01-01 01:00:00"), ("c", "2024-01-01 01:30:00"), ("d", "2024-01-01 02:00:00")], "id string, event_time string").withColumn("timestamp", F.col("event_time").cast("timestamp"))
+    part = tables.between(rows, "2024-01-01 01:00:00", "2024-01-01 02:00:00")
+    path = str(tmp_path / "batches")
+    assert not tables.write_interval(part.where("false"), path, "01") and not (tmp_path / "batches").exists()
+    assert tables.write_interval(rows.where("id = 'a'"), path, "00")
+    assert tables.write_interval(part, path, "01") and tables.write_interval(part, path, "01")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_tables_are_refreshed(spark):
+    df = spark.range(3)
+    assert tables.materialise(spark, {"refreshed": df})["refreshed"].count() == 3
+    assert tables.overwrite_table(df.where("id > 0"), "refreshed").count() == 2
+    assert tables.view(df, "seen").count() == 3
+
+
+def test_stream_loads_files_once_and_transforms_them(spark, tmp_path):
+    bronze = events.bronze(spark, DATA).drop("_ingested_at", "_source_file").cache()
+    source, loaded, out = (str(tmp_path / d) for d in ("in", "bronze", "silver"))
+    bronze.where("event_type = 'AUTH'").write.parquet(source)
+    for _ in range(2):
+        load_new_files(spark, source, loaded, str(tmp_path / "ledger"))
+    rows = events.read_events(spark, loaded)
+    assert rows.count() == bronze.where("event_type = 'AUTH'").count()
+    stream = lambda: spark.readStream.schema(spark.read.parquet(loaded).schema).parquet(loaded)
+    transform_new_rows(stream(), out, str(tmp_path / "state"), catalog.AS_OF)
+    bronze.where("coalesce(event_type, '') <> 'AUTH'").write.mode("append").parquet(source)
+    load_new_files(spark, source, loaded, str(tmp_path / "ledger"))
+    transform_new_rows(stream(), out, str(tmp_path / "state"), catalog.AS_OF)
+    whole = spark.read.parquet(loaded)
+    assert whole.count() == bronze.count()
+    for name, df in (("authorizations", silver.authorizations(whole)), ("settlements", silver.settlements(whole)), ("quarantine", silver.quarantine(whole, catalog.AS_OF))):
+        assert spark.read.parquet(f"{out}/{name}").count() == df.count()
+
+
+def test_audits(spark):
+    flags = spark.createDataFrame([("a", 1, "x", True), ("b", 1, "x", False), ("c", 0, None, False)], "transaction_id string, is_fraud int, fraud_type string, model_flag boolean")
+    types = spark.createDataFrame([("x",), ("y",)], "fraud_type string")
+    assert sorted(tuple(r) for r in audits.model_recall(flags, types).collect()) == [("x", 2, 0.5), ("y", 0, None)]
+    assert [r.n for r in audits.lenient_numbers(spark.createDataFrame([("1.5",), ("bad",), (None,)], "n string"), "n").collect()] == [1.5, None, None]
+    sample = catalog.QUERIES["scored_sample"](spark, DATA)
+    assert sample.where("is_fraud = 0").count() <= 1000 and sample.where("is_fraud = 1").count() > 0
