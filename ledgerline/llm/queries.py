@@ -4,7 +4,7 @@ tests hold them against brute force, round trips and held-out labels instead."""
 
 from __future__ import annotations
 
-from . import op1_html, op2_toxicity, op3_mixing, op4_langid, op5_simhash, op6_quality, op7_pii, op8_fingerprints, op9_chat, op10_decontamination
+from . import op1_html, op2_toxicity, op3_mixing, op4_langid, op5_simhash, op6_quality, op7_pii, op8_fingerprints, op9_chat, op10_decontamination, op11_centroids, op12_repair
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,8 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints.query,
     "op9_chat_formatting": op9_chat.query,
     "op10_decontamination": op10_decontamination.query,
+    "op11_centroid_clustering": op11_centroids.query,
+    "op12_conversation_repair": op12_repair.query,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
