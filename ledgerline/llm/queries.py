@@ -4,7 +4,7 @@ tests hold them against brute force, round trips and held-out labels instead."""
 
 from __future__ import annotations
 
-from . import op1_html, op2_toxicity, op3_mixing, op4_langid, op5_simhash, op6_quality, op7_pii, op8_fingerprints, op9_chat, op10_decontamination, op11_centroids, op12_repair
+from . import op1_html, op2_toxicity, op3_mixing, op4_langid, op5_simhash, op6_quality, op7_pii, op8_fingerprints, op9_chat, op10_decontamination, op11_centroids, op12_repair, op13_lmscore
 
 
 def pipeline(spark, sf_dir):
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination.query,
     "op11_centroid_clustering": op11_centroids.query,
     "op12_conversation_repair": op12_repair.query,
+    "op13_lm_scoring": op13_lmscore.query,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
