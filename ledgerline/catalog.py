@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import checks, evaluation, gate, incremental, merchants, reconcile, silver, velocity
+from .operators import checks, evaluation, gate, incremental, merchants, quantiles, reconcile, silver, velocity, velocity_cut
 from .plans import audits, reports
 from .sources.events import bronze, decode, duckdb_bronze, encode
-from .sources.tables import between
+from .sources.tables import between, stored
+from .sources.topic import log_of, topic_slice
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -95,7 +96,24 @@ def hybrid(t: Tables) -> DataFrame:
     return evaluation.meets_floor(reports.confusion_of(flags, ["any_rule", "model_flag", "combined_flag"]))
 
 
+def topic_log(t: Tables) -> DataFrame:
+    """Bronze as a log of six partitions: the card's messages in the order of event ids, stamped when they came in, but
+    those of every seventh event a day late, so that timestamps are not in order."""
+    number = F.regexp_extract("transaction_id", "([0-9]+)", 1).cast("long")
+    rows = t.bronze.where("transaction_id is not null and card_id is not null and event_type = 'AUTH'")
+    stamp = F.when(number % 7 == 0, F.col("_ingested_at") + F.make_dt_interval(days=F.lit(1))).otherwise(F.col("_ingested_at"))
+    return log_of(rows.select(F.col("card_id").alias("key"), F.col("transaction_id").alias("value"), stamp.alias("timestamp"), F.struct(number, "transaction_id").alias("position")), F.regexp_extract("key", "([0-9]+)", 1).cast("long") % 6)
+
+
+SHARES = (0.01, 0.25, 0.5, 0.75, 0.9, 0.98, 0.99)
+MEASURED = ("amount", "amount_vs_avg_24h_ratio", "implied_speed_kmh", "minutes_since_last_txn", "txn_count_24h")
+
 SPARK = {
+    "velocity_features_cut": lambda t: velocity_cut.card_velocity_features(t.auths),
+    "merchant_as_of_pass": lambda t: merchants.as_of_pass(t.auths, merchants.merchant_history(t.auths)).select("transaction_id", "merchant_id", "version_name"),
+    "topic_slice": lambda t: topic_slice(topic_log(t), "2024-01-16", "2024-01-17").select("partition", "offset", F.col("key").alias("card"), F.col("value").alias("transaction_id")),
+    "stratified_split": lambda t: quantiles.stratified_split(t.features, "is_fraud").select("transaction_id", "is_fraud", "split"),
+    "feature_quantiles": lambda t: quantiles.quantile_rows(stored(t.features.select(*MEASURED)), MEASURED, SHARES),
     "bronze_events": lambda t: t.bronze,
     "silver_authorizations": lambda t: t.auths,
     "silver_settlements": lambda t: t.settlements,
@@ -138,6 +156,10 @@ SPARK = {
 }
 
 
+#: Another way to the same rows.
+SAME = {"velocity_features_cut": "velocity_features"}
+
+
 def registered(build):
     return lambda spark, sf_dir: flat(build(Tables(spark, sf_dir)))
 
@@ -243,6 +265,12 @@ ORACLES = {
     "rule_flags": duck(f"select transaction_id, rule_velocity, rule_geo, rule_amount, {_ANY} as any_rule, {_FIRED} as rules_fired from flags"),
     "merchants_current": duck("select merchant_id, merchant_name, mcc, mcc_description, country, epoch_us(event_time) as last_seen_at from merch"),
     "merchant_history": duck("select * replace (epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to) from hist"),
+    "merchant_as_of_pass": duck("select a.transaction_id, a.merchant_id, h.merchant_name as version_name from auths a left join hist h on a.merchant_id = h.merchant_id and a.event_time >= h.valid_from and (h.valid_to is null or a.event_time < h.valid_to)"),
+    "topic_slice": duck("""select partition, "offset", card, transaction_id from (select *, coalesce(min(case when ts >= timestamp '2024-01-16' then "offset" end) over p, max("offset") over p + 1) as lo, coalesce(min(case when ts >= timestamp '2024-01-17' then "offset" end) over p, max("offset") over p + 1) as hi
+      from (select *, row_number() over (partition by partition order by number, transaction_id) - 1 as "offset" from (select card_id as card, transaction_id, cast(regexp_extract(card_id, '([0-9]+)', 1) as bigint) % 6 as partition, cast(regexp_extract(transaction_id, '([0-9]+)', 1) as bigint) as number, case when number % 7 = 0 then _ingested_at + interval 1 day else _ingested_at end as ts
+        from bronze where transaction_id is not null and card_id is not null and event_type = 'AUTH')) window p as (partition by partition)) where "offset" >= lo and "offset" < hi"""),
+    "stratified_split": duck("select transaction_id, cast(is_fraud as bigint) as is_fraud, case when nth <= of_label - cast(ceil(round(of_label * 0.25, 9)) as bigint) then 'train' else 'test' end as split from (select *, row_number() over (partition by is_fraud order by cast('0x' || substr(md5(concat(transaction_id, ':42')), 1, 8) as bigint), transaction_id) as nth, count(*) over (partition by is_fraud) as of_label from feats)"),
+    "feature_quantiles": duck("select feature, share, round(v, 6) as value from (" + " union all ".join(f"select '{c}' as feature, cast({s} as double) as share, quantile_cont({x}, {s}) as v from feats" for c, x in (("amount", "cast(amount as double)"), ("amount_vs_avg_24h_ratio", "cast(amount as double) / nullif(avg24, 0)"), ("implied_speed_kmh", "speed"), ("minutes_since_last_txn", "(u - prev) / 60.0"), ("txn_count_24h", "cast(n24 as double)")) for s in SHARES) + ")"),
     "merchant_as_of": duck("select a.transaction_id, a.merchant_id, h.merchant_name as version_name from auths a left join hist h on a.merchant_id = h.merchant_id and a.event_time >= h.valid_from and (h.valid_to is null or a.event_time < h.valid_to)"),
     "quality_gate": duck(f"select expectation, round(o, 6) as observed, passed, min(passed) over () as overall_success from ({_GATE})"),
     "recon_distribution": duck("select recon_status, is_break, is_matured, count(*) as n from recon group by all"),
@@ -270,3 +298,4 @@ ORACLES = {
     "labelled_breaks": duck("select recon_status, case when is_break then 'Break' else 'Clean' end as outcome, case when is_matured then 'Matured' else 'Pending maturity' end as maturity, count(*) as n from recon group by all"),
     "interval_slice": duck("select transaction_id, event_time, round(amount, 6) as amount, currency from bronze where _ingested_at >= timestamp '2024-01-10' and _ingested_at < timestamp '2024-01-20'"),
 }
+ORACLES |= {name: ORACLES[other] for name, other in SAME.items()}

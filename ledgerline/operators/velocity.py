@@ -23,6 +23,11 @@ def card_velocity_features(auths: DataFrame) -> DataFrame:
         "n1": F.count("*").over(hour) - 1, "n24": F.count("*").over(day) - 1, "s24": F.sum("amount").over(day) - F.col("amount"),
         "n": F.count("*").over(ever) - 1, "countries": F.size(F.collect_set("country").over(before)), "prev": F.lag("u").over(at), **last,
     })
+    return features_of(rows)
+
+
+def features_of(rows: DataFrame) -> DataFrame:
+    """The feature columns, from each row's counts n1, n24, n and sum s24, its countries, and the rows before it."""
     average = F.when(F.col("n24") > 0, F.col("s24").cast("double") / F.col("n24"))
     speed = haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) / F.nullif((F.col("u") - F.col("p_u")) / F.lit(3600.0), F.lit(0.0))
     return rows.select(
