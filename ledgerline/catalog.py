@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import checks, evaluation, gate, incremental, merchants, quantiles, reconcile, silver, velocity, velocity_cut
-from .plans import audits, reports
+from .operators import checks, evaluation, gate, incremental, merchants, model, quantiles, reconcile, silver, velocity, velocity_cut
+from .plans import audits, publish, reports
 from .sources.events import bronze, decode, duckdb_bronze, encode
-from .sources.tables import between, stored
+from .sources.tables import between, shared_folder, stored
 from .sources.topic import log_of, topic_slice
+from .streaming import merge
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -77,23 +78,53 @@ def orphans_in_quarantine(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    """All rows with their anomaly score, by a forest grown on the train split."""
-    rows = evaluation.split(t.features)
-    train = rows.where("split = 'train'")
-    fill = evaluation.medians(train)
-    return evaluation.score(evaluation.impute(rows, fill), evaluation.fit(evaluation.impute(train, fill)))
+    """All rows with scores and flags, by a model that was trained on the train split, stored, and read again."""
+    rows = stored(evaluation.split(t.features), "features")
+    path = shared_folder(rows.sparkSession, "model")
+    model.save(model.train(rows.where("split = 'train'"), "1"), path)
+    kept = model.load(rows.sparkSession, path)
+    return stored(model.scored(model.imputed(rows, kept), kept), "scores")
 
 
 def flagged(t: Tables) -> DataFrame:
     """The test split with rule, model and combined flags."""
-    rows = scored(t)
-    return evaluation.flag(rows, evaluation.cutoff(rows.where("split = 'train'"))).where("split = 'test'")
+    return scored(t).where("split = 'test'")
 
 
 def hybrid(t: Tables) -> DataFrame:
-    """Confusion of rules, model and both on the test split, with the promotion floor."""
-    flags = flagged(t)
-    return evaluation.meets_floor(reports.confusion_of(flags, ["any_rule", "model_flag", "combined_flag"]))
+    """Confusion of rules, model and both on the test split, and whether each may be promoted."""
+    flags, names = flagged(t), ["any_rule", "model_flag", "combined_flag"]
+    floor = [model.promotion(flags, n).select("strategy", "promoted") for n in names]
+    return reports.confusion_of(flags, names).join(floor[0].unionByName(floor[1]).unionByName(floor[2]), "strategy")
+
+
+def sampled(t: Tables) -> DataFrame:
+    return model.provenance(audits.scored_sample(flagged(t)))
+
+
+def keyed_quarantine(t: Tables) -> DataFrame:
+    """Quarantine kept up by a stream in two batches, the second of which runs twice: keys stay single, and as first quarantined."""
+    spark = t.bronze.sparkSession
+    inbox, table, checkpoint = (shared_folder(spark, f"quarantine-{n}") for n in ("inbox", "table", "checkpoint"))
+    first, all_ = t.quarantine.where("_source_file = 'batch_1.parquet'"), silver.quarantine(t.bronze, "2024-02-15 00:00:00")
+    for batch in (first, all_):
+        batch.write.mode("append").parquet(inbox)
+        merge.keep_up(spark.readStream.schema(batch.schema).parquet(inbox), table, "quarantine_key", checkpoint, ("quarantined_at",))
+    merge.merge_batch(all_, merge.versions(spark, table)[-1], table, "quarantine_key", ("quarantined_at",))
+    return merge.head(spark, table).select("quarantine_key", "quarantined_at")
+
+
+def published_run(t: Tables) -> DataFrame:
+    """Built, gated and published tables: how many rows each has, whether the run passed, and whether readers see it."""
+    spark = t.bronze.sparkSession
+    root = shared_folder(spark, "publish")
+    done = publish.publish(t.bronze, root, "first", AS_OF, f"{root}/log")
+    seen = publish.pointer(spark, root) == "first"
+    rows = [spark.read.parquet(f"{root}/runs/first/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name in publish.TABLES]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("table", "n", F.lit(done.passed).alias("passed"), F.lit(seen).alias("published"))
 
 
 def topic_log(t: Tables) -> DataFrame:
@@ -143,9 +174,15 @@ SPARK = {
     "imputed_features": lambda t: evaluation.impute(t.features, evaluation.medians(evaluation.split(t.features).where("split = 'train'"))).select("transaction_id", *evaluation.NUMERIC),
     "recall_long": lambda t: evaluation.recall_long(t.flags),
     "anomaly_scores": lambda t: scored(t).select("transaction_id", "split", "anomaly_score"),
-    "threshold_sweep": lambda t: evaluation.sweep(scored(t).where("split = 'test'")),
+    "threshold_sweep": lambda t: evaluation.sweep(flagged(t)),
     "hybrid_confusion": hybrid,
-    "scored_sample": lambda t: audits.scored_sample(flagged(t)),
+    "scored_sample": lambda t: sampled(t).drop("run"),
+    "recent_flagged": lambda t: model.recent_flagged(sampled(t).drop("run"), t.features),
+    "recall_three_ways": lambda t: model.recall_three_ways(flagged(t), t.auths.where("is_fraud = 1").select("fraud_type").distinct()),
+    "rule_promotion": lambda t: model.promotion(t.flags, "any_rule"),
+    "column_tests": lambda t: checks.column_suite(t.auths, t.settlements, t.quarantine, t.recon, t.features, merchants.merchant_history(t.auths)),
+    "keyed_quarantine": keyed_quarantine,
+    "published_run": published_run,
     "model_recall": lambda t: audits.model_recall(flagged(t), t.auths.where("is_fraud = 1").select("fraud_type").distinct()),
     "settlement_drift": lambda t: audits.settlement_drift(t.auths, t.settlements),
     "speed_audit": lambda t: audits.speed_audit(t.auths),
@@ -254,6 +291,19 @@ _SUITE = " union all ".join(f"select '{k}' as test, '{'warn' if k in _WARN else
 _SPLIT = "(select *, (u - prev) / 60.0 as minutes, case when cast('0x' || substr(md5(concat(transaction_id, ':42')), 1, 8) as bigint) < 3221225472 then 'train' else 'test' end as split from feats)"
 _MEDIANS = f"(select median(minutes) as m1, median(avg24) as m2 from {_SPLIT} where split = 'train')"
 
+_KEY = "sha256(concat_ws('||', coalesce(transaction_id, ''), coalesce(event_type, ''), coalesce(event_time, ''), coalesce(card_id, ''), coalesce(merchant_id, ''), coalesce(cast(amount as varchar), ''), coalesce(currency, ''), coalesce(_source_file, '')))"
+_FILLED = {
+    "authorizations": ("auths", ("transaction_id", "event_time", "card_id_hash")), "settlements": ("settlements", ("transaction_id", "event_time", "card_id_hash", "auth_transaction_id")),
+    "reconciliation": ("recon", ("recon_key", "recon_status")), "features": ("feats", ("transaction_id", "card_id_hash", "event_time")), "merchants": ("hist", ("merchant_id", "valid_from")),
+}
+_CURRENCY = "('SGD','MYR','IDR','THB','USD','GBP','AUD')"
+_COLUMN_TESTS = {f"not_null_{n}_{c}": f"select 1 from {t} where {c} is null" for n, (t, columns) in _FILLED.items() for c in columns} | {
+    "not_null_quarantine_quarantine_key": f"select 1 from quarantine where {_KEY} is null", "not_null_quarantine_quarantine_reasons": "select 1 from quarantine where rs is null", "not_null_quarantine_quarantined_at": "select 1 from quarantine where false",
+    "accepted_authorizations_currency": f"select 1 from auths where currency not in {_CURRENCY}", "accepted_authorizations_channel": "select 1 from auths where channel not in ('POS','ONLINE','ATM','CONTACTLESS')",
+    "accepted_settlements_currency": f"select 1 from settlements where currency not in {_CURRENCY}", "accepted_reconciliation_recon_status": "select 1 from recon where recon_status not in ('AUTH_DECLINED','AMOUNT_MISMATCH','MATCHED','AUTH_NO_SETTLEMENT','PENDING_SETTLEMENT','ORPHAN_SETTLEMENT')",
+    "unique_quarantine_quarantine_key": f"select {_KEY} as k from quarantine group by 1 having count(*) > 1", "known_settlements_auth_transaction_id": _TESTS["settlement_has_authorization"],
+} | {f"unique_{n}_{c}": f"select {c} from {t} where {c} is not null group by 1 having count(*) > 1" for n, t, c in (("authorizations", "auths", "transaction_id"), ("settlements", "settlements", "transaction_id"), ("reconciliation", "recon", "recon_key"), ("features", "feats", "transaction_id"))}
+
 ORACLES = {
     "bronze_events": duck("select * replace (round(lat, 6) as lat, round(lon, 6) as lon, round(amount, 6) as amount, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from bronze"),
     "silver_authorizations": duck(f"select * replace (round(lat, 6) as lat, round(lon, 6) as lon, {_MONEY}, epoch_us(event_time) as event_time, cast(is_fraud as bigint) as is_fraud, epoch_us(_ingested_at) as _ingested_at) from auths"),
@@ -266,6 +316,11 @@ ORACLES = {
     "merchants_current": duck("select merchant_id, merchant_name, mcc, mcc_description, country, epoch_us(event_time) as last_seen_at from merch"),
     "merchant_history": duck("select * replace (epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to) from hist"),
     "merchant_as_of_pass": duck("select a.transaction_id, a.merchant_id, h.merchant_name as version_name from auths a left join hist h on a.merchant_id = h.merchant_id and a.event_time >= h.valid_from and (h.valid_to is null or a.event_time < h.valid_to)"),
+    "rule_promotion": duck(f"""select 'any_rule' as strategy, round(p, 6) as overall_precision, round(v, 6) as recall_velocity, round(g, 6) as recall_geo_impossible, coalesce(p >= 0.05 and v >= 0.5 and g >= 0.5, false) as promoted from (select sum(case when a and is_fraud = 1 then 1.0 else 0.0 end) / nullif(sum(case when a then 1 else 0 end), 0) as p,
+      avg(case when a then 1.0 else 0.0 end) filter (is_fraud = 1 and fraud_type = 'velocity') as v, avg(case when a then 1.0 else 0.0 end) filter (is_fraud = 1 and fraud_type = 'geo_impossible') as g from (select *, {_ANY} as a from flags))"""),
+    "column_tests": duck(" union all ".join(f"select '{n}' as test, '{'warn' if n.startswith('known') else 'error'}' as severity, count(*) as failures, count(*) = 0 as passed from ({q})" for n, q in _COLUMN_TESTS.items())),
+    "keyed_quarantine": duck(f"select {_KEY} as quarantine_key, epoch_us(min(case when _source_file = 'batch_1.parquet' then timestamp '{AS_OF}' else timestamp '2024-02-15' end)) as quarantined_at from quarantine group by 1"),
+    "published_run": duck(f"select *, (select min(passed) from ({_GATE})) as passed, (select min(passed) from ({_GATE})) as published from (select 'authorizations' as \"table\", count(*) as n from auths union all select 'settlements', count(*) from settlements union all select 'quarantine', count(*) from quarantine union all select 'reconciliation', count(*) from recon union all select 'features', count(*) from feats)"),
     "topic_slice": duck("""select partition, "offset", card, transaction_id from (select *, coalesce(min(case when ts >= timestamp '2024-01-16' then "offset" end) over p, max("offset") over p + 1) as lo, coalesce(min(case when ts >= timestamp '2024-01-17' then "offset" end) over p, max("offset") over p + 1) as hi
       from (select *, row_number() over (partition by partition order by number, transaction_id) - 1 as "offset" from (select card_id as card, transaction_id, cast(regexp_extract(card_id, '([0-9]+)', 1) as bigint) % 6 as partition, cast(regexp_extract(transaction_id, '([0-9]+)', 1) as bigint) as number, case when number % 7 = 0 then _ingested_at + interval 1 day else _ingested_at end as ts
         from bronze where transaction_id is not null and card_id is not null and event_type = 'AUTH')) window p as (partition by partition)) where "offset" >= lo and "offset" < hi"""),

@@ -84,3 +84,27 @@ def suite(bronze: DataFrame, auths: DataFrame, settlements: DataFrame, quarantin
         "hourly_count_excludes_self": ("error", below_card_total(features)),
         "daily_not_less_than_hourly": ("error", features.where("txn_count_24h < txn_count_1h")),
     })
+
+
+#: The channels.
+CHANNELS = ("POS", "ONLINE", "ATM", "CONTACTLESS")
+
+
+def column_suite(auths: DataFrame, settlements: DataFrame, quarantine: DataFrame, recon: DataFrame, features: DataFrame, history: DataFrame) -> DataFrame:
+    """The tests that the tables' columns declare, (test, severity, failures, passed): what must be unique, filled, of a
+    set or known. Tests of one column's rows are counted together, in one pass over the table."""
+    filled = {
+        "authorizations": (auths, ("transaction_id", "event_time", "card_id_hash")), "settlements": (settlements, ("transaction_id", "event_time", "card_id_hash", "auth_transaction_id")),
+        "quarantine": (quarantine, ("quarantine_key", "quarantine_reasons", "quarantined_at")), "reconciliation": (recon, ("recon_key", "recon_status")),
+        "features": (features, ("transaction_id", "card_id_hash", "event_time")), "merchants": (history, ("merchant_id", "valid_from")),
+    }
+    among = {"authorizations": {"currency": CURRENCIES, "channel": CHANNELS}, "settlements": {"currency": CURRENCIES}, "reconciliation": {"recon_status": STATUSES}}
+    out = []
+    for name, (df, columns) in filled.items():
+        bad = {f"not_null_{name}_{c}": F.col(c).isNull() for c in columns} | {f"accepted_{name}_{c}": ~F.col(c).isin(*v) for c, v in among.get(name, {}).items()}
+        counts = df.agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in bad.items()])
+        out.append(counts.unpivot([], list(bad), "test", "failures").select("test", F.lit("error").alias("severity"), F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), (F.coalesce("failures", F.lit(0)) == 0).alias("passed")))
+    keys = {"authorizations": "transaction_id", "settlements": "transaction_id", "quarantine": "quarantine_key", "reconciliation": "recon_key", "features": "transaction_id"}
+    rest = {f"unique_{name}_{c}": ("error", unique(filled[name][0], c)) for name, c in keys.items()}
+    rest["known_settlements_auth_transaction_id"] = ("warn", relationships(settlements, "auth_transaction_id", auths, "transaction_id"))
+    return reduce(DataFrame.unionByName, [*out, run_suite(rest)])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.reports import confusion_of
+from .quantiles import exact_quantiles
 from .velocity import rule_flags
 
 #: The features in the order the model reads them.
@@ -66,7 +67,7 @@ def fit(train: DataFrame, trees: int = TREES, sample: int = SAMPLE, key: str = "
     n = max(1, train.count())
     picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
     rows = train.select(vector(train).alias("x"), F.explode(picks).alias("tree"))
-    deep = int(np.ceil(np.log2(sample)))
+    deep = int(np.ceil(np.log2(max(2, min(sample, n)))))
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         tree, out = int(part["tree"].iloc[0]), []
@@ -117,8 +118,12 @@ def score(df: DataFrame, nodes: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def cutoff(scored: DataFrame, contamination: float = CONTAMINATION) -> float:
-    """The score that the most anomalous `contamination` of rows reach."""
-    return scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000)).first()[0] or 1.0
+    """The exact quantile of the scores that the most anomalous `contamination` of rows reach; 1 without rows. Pass a stored frame."""
+    return or_one(exact_quantiles(scored, "anomaly_score", (1 - contamination,)))[0]
+
+
+def or_one(cuts: list[float | None]) -> list[float]:
+    return [1.0 if c is None else c for c in cuts]
 
 
 def flag(scored: DataFrame, cut: float) -> DataFrame:
@@ -128,18 +133,12 @@ def flag(scored: DataFrame, cut: float) -> DataFrame:
 
 
 def sweep(scored: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """Confusion counts and rates for the cuts that flag each share of the rows."""
-    cuts = scored.agg(F.percentile_approx("anomaly_score", [1 - s for s in shares], 100_000)).first()[0] or [1.0] * len(shares)
+    """Confusion counts and rates for the exact cuts that flag each share of the rows. Pass a stored frame."""
+    cuts = or_one(exact_quantiles(scored, "anomaly_score", tuple(1 - s for s in shares)))
     flags = {f"share_{round(s * 1000)}_per_mille": F.col("anomaly_score") >= c for s, c in zip(shares, cuts)}
     return confusion_of(scored.withColumns(flags), list(flags))
 
 
-def meets_floor(metrics: DataFrame, precision: float = 0.05, recall: float = 0.50) -> DataFrame:
-    """metrics with `promoted`: both rates at their floor at least; a missing rate fails."""
-    good = (F.col("precision") >= precision) & (F.col("recall") >= recall)
-    return metrics.withColumn("promoted", F.coalesce(good, F.lit(False)))
-
-
 def recall_long(flags: DataFrame) -> DataFrame:
     """(fraud_type, strategy, recall) of the fraud rows."""
     names = ["rule_velocity", "rule_geo", "rule_amount", "any_rule"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,24 @@ def append_verdict(gate: DataFrame, table: str, checked_at: str) -> None:
     rows.write.mode("append").saveAsTable(table)
 
 
+def append_once(gate: DataFrame, path: str, checked_at: str) -> bool:
+    """Writes one run's rows to the log at `path`, in place of those of the same checked_at, and tells whether that
+    went well: a log that cannot be written is reported, and the verdict stands without it."""
+    at = F.lit(checked_at).cast("timestamp")
+    rows = gate.select(at.alias("checked_at"), "expectation", F.nanvl("observed", F.lit(None).cast("double")).alias("observed"), "passed", "overall_success", F.date_format(at, "yyyyMMddHHmmss").alias("run"))
+    try:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+    except (PySparkException, Py4JJavaError) as e:
+        logging.getLogger(__name__).warning("the gate's verdict of %s was not logged at %s: %s", checked_at, path, str(e).partition("\n")[0])
+        return False
+    return True
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that `append_once` wrote, in the log's schema."""
+    return spark.read.schema(f"{SCHEMA}, run string").parquet(path).drop("run")
+
+
 def history(log: DataFrame, newest: int = 20) -> DataFrame:
     """checked_at, success and failed expectations of the newest runs."""
     runs = log.groupBy("checked_at").agg(F.max("overall_success").alias("success"), count_if(~F.col("passed")).alias("failed"))

@@ -46,8 +46,7 @@ def scored_sample(flags: DataFrame, ordinary: int = 1000, seed: int = 42) -> Dat
     """All fraud rows of the test split and `ordinary` others, the first by a hash of the id."""
     test = flags.where("split = 'test'")
     some = test.where("is_fraud = 0").orderBy(F.xxhash64("transaction_id", F.lit(seed)), "transaction_id").limit(ordinary)
-    columns = ["transaction_id", "anomaly_score", "model_flag", "rule_velocity", "rule_geo", "rule_amount", "any_rule", "combined_flag", "is_fraud", "fraud_type"]
-    return test.where("is_fraud = 1").unionByName(some).select(*columns)
+    return test.where("is_fraud = 1").unionByName(some)
 
 
 def model_recall(flags: DataFrame, types: DataFrame) -> DataFrame:
