@@ -40,12 +40,15 @@ def shape(text: str, weights: np.ndarray) -> list[float]:
 
 def labelled(docs: DataFrame, labels: DataFrame, cap: int = CAP) -> DataFrame:
     """text, quality and weight (how many labelled ids a row stands for) of about `cap` labelled
-    documents of each class outside the held-out fold."""
+    ids of each class outside the held-out fold. An id that several documents have gives one, that
+    with the least hash of its text, so that the rows are bounded as the ids are."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rate = bounded_rates(marks, "quality", cap)
     picks = marks.where(hash_fraction(SEED, F.col("doc_id")) < rate).select("doc_id", "quality", F.try_divide(F.lit(1.0), rate).alias("weight"))
     # About `cap` ids of each of two classes: a proven bound for the broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("text", "quality", "weight")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality", "weight"), F.xxhash64("text")).alias("row"))
+    return one.select("row.*")
 
 
 def train(rows: DataFrame):

@@ -6,7 +6,8 @@ are joined by identifier. A result is placed no earlier than its call: messages
 (rank_turn, rank_step, turn), where a result's rank_turn is at least its call's turn, and its
 rank_step is 1. The links run from calls to results only, so this order is topological, and no
 conversation need be gathered in one task. Arguments are checked against schemas, and each
-message is serialised as canonical JSON: no spaces, keys in order, null fields left out.
+message is serialised as canonical JSON: no spaces, keys in order, null fields left out. A message
+with calls keeps its content, and under `extra` the JSON of whatever other keys it has.
 
 Nulls: a null role or text is left out of the JSON; null conv_ids are one conversation; a null
 turn is placed first. A call id that repeats in a conversation links to its first call; a
@@ -65,7 +66,11 @@ def linked(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     parsed = F.transform(F.coalesce("calls", F.array().cast(CALLS)), lambda c: problems(c["name"], F.try_parse_json(c["arguments"]), schemas))
     canonical = F.transform("calls", lambda c: F.struct(F.coalesce(F.to_json(F.try_parse_json(c["arguments"])), c["arguments"]).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
     plain = F.size(F.coalesce("calls", F.array().cast(CALLS))) == 0
-    body = F.to_json(F.struct(F.when(plain, F.col("text")).alias("content"), F.col("role"), F.col("answers").alias("tool_call_id"), F.when(~plain, canonical).alias("tool_calls")))
+    # What else a message with calls holds stays: its content, and its other keys under `extra`.
+    held = F.from_json(F.when(~plain, F.regexp_replace("text", r"^[\x20\t\r\n]++", "")), "map<string,variant>")
+    rest = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(F.transform_values(held, lambda k, v: F.to_json(v)), lambda k, v: ~k.isin("content", "role", "tool_call_id", "tool_calls")))))
+    content = F.coalesce(F.try_variant_get(held["content"], "$", "string"), F.nullif(F.to_json(held["content"]), F.lit("null")))
+    body = F.to_json(F.struct(F.when(plain, F.col("text")).otherwise(content).alias("content"), F.when(F.cardinality(rest) > 0, rest).alias("extra"), F.col("role"), F.col("answers").alias("tool_call_id"), F.when(~plain, canonical).alias("tool_calls")))
     return both.select(
         "conv_id", "turn", "role",
         F.greatest("turn", "call_turn").alias("rank_turn"), F.col("answers").isNotNull().cast("int").alias("rank_step"),

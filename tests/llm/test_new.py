@@ -157,3 +157,51 @@ def test_repair_gives_the_messages(spark):
     rows = spark.createDataFrame([(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hello."), (1, 2, "user", "Hi."), (1, 3, "user", "Hi."), (1, 4, "user", "cut off")], SCHEMA)
     got = [tuple(r) for r in op12_repair.repair(op12_repair.whole(rows)).orderBy("position").select("edit", "role", "text").collect()]
     assert got == [("K", "system", "Be kind."), ("I", "user", ""), ("K", "assistant", "Hello."), ("K", "user", "Hi."), ("D", "user", "Hi."), ("R", "assistant", "cut off")]
+
+
+def test_messages_with_calls_keep_all_they_hold(spark):
+    """Random call graphs against plain Python; content and other keys of messages with calls stay."""
+    import json
+
+    from ledgerline.llm import op9_chat
+
+    rng, rows = random.Random(6), []
+    for conv in range(30):
+        ids = [f"c{k}" for k in range(rng.randrange(4))]
+        for turn in range(rng.randrange(1, 9)):
+            kind = rng.randrange(3)
+            if kind == 0:
+                message = {"tool_calls": [{"id": i, "name": "search", "arguments": json.dumps({"limit": 1, "query": "q"})} for i in rng.sample(ids, rng.randrange(len(ids) + 1))], **({"content": rng.choice(["let me look", "", None])} if rng.random() < 0.7 else {}), **({"note": {"b": 1, "a": [2]}} if rng.random() < 0.5 else {})}
+                rows.append((conv, turn, "assistant", json.dumps(message)))
+            elif kind == 1:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "none"]), "content": "r"})))
+            else:
+                rows.append((conv, turn, "user", rng.choice(["Hi.", "{not json", "", None])))
+    got = {(r.conv_id, r.turn): r for r in op9_chat.linked(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, calls int")).collect()}
+    assert len(got) == len(rows)
+    made = {}
+    for conv, turn, _, text in rows:
+        for c in (json.loads(text).get("tool_calls", []) if text and text.startswith('{"') else []):
+            made[conv, c["id"]] = min(turn, made.get((conv, c["id"]), turn))
+    for conv, turn, role, text in rows:
+        r, out = got[conv, turn], json.loads(got[conv, turn].json)
+        m = json.loads(text) if text and text.startswith('{"') else {}
+        assert out.get("role") == role and r.json == json.dumps(out, separators=(",", ":"), sort_keys=True)
+        if "tool_call_id" in m:
+            call = made.get((conv, m["tool_call_id"]))
+            assert (r.call_turn, r.orphan, r.rank_turn, r.rank_step) == (call, call is None, max(turn, call if call is not None else turn), 1)
+        if m.get("tool_calls"):
+            assert out.get("content") == m.get("content") and [c["id"] for c in out["tool_calls"]] == [c["id"] for c in m["tool_calls"]]
+            assert {k: json.loads(v) for k, v in out.get("extra", {}).items()} == ({"note": m["note"]} if "note" in m else {})
+        elif not m.get("tool_calls"):
+            assert out.get("content") == text
+
+
+def test_quality_rows_are_bounded_by_their_ids(spark):
+    from ledgerline.llm import op6_quality
+
+    docs = spark.createDataFrame([(i // 500, f"text {i}", 7) for i in range(3000)] + [(None, "x", 1)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    out = op6_quality.labelled(docs, labels, 50)
+    assert out.columns == ["text", "quality", "weight"] and 1 <= out.count() <= 6
+    assert out.count() == out.select("text").distinct().count()
