@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checks, evaluation, gate, incremental, merchants, model, quantiles, reconcile, silver, velocity, velocity_cut
-from .plans import audits, publish, reports
+from .plans import audits, publish, reports, roundtrips
 from .sources.events import bronze, decode, duckdb_bronze, encode
 from .sources.tables import between, shared_folder, stored
 from .sources.topic import log_of, topic_slice
@@ -140,6 +140,14 @@ SHARES = (0.01, 0.25, 0.5, 0.75, 0.9, 0.98, 0.99)
 MEASURED = ("amount", "amount_vs_avg_24h_ratio", "implied_speed_kmh", "minutes_since_last_txn", "txn_count_24h")
 
 SPARK = {
+    "interval_files": lambda t: roundtrips.interval_files(t.bronze),
+    "loaded_once": lambda t: roundtrips.loaded_once(t.bronze),
+    "named_tables": lambda t: roundtrips.named_tables(t.recon),
+    "gate_history": lambda t: roundtrips.logged_gates(gate.gate(t.recon, t.features))[0],
+    "gate_latest": lambda t: roundtrips.logged_gates(gate.gate(t.recon, t.features))[1],
+    "gate_described": lambda t: roundtrips.described(gate.gate(t.recon, t.features)),
+    "flagged_display": lambda t: roundtrips.display(t.flags),
+    "lenient_numbers": lambda t: audits.lenient_numbers(t.bronze.select("transaction_id", F.coalesce("auth_code", "currency").alias("code"), F.translate(F.substring("transaction_id", 2, 9), "_", "x").alias("number")), "code", "number"),
     "velocity_features_cut": lambda t: velocity_cut.card_velocity_features(t.auths),
     "merchant_as_of_pass": lambda t: merchants.as_of_pass(t.auths, merchants.merchant_history(t.auths)).select("transaction_id", "merchant_id", "version_name"),
     "topic_slice": lambda t: topic_slice(topic_log(t), "2024-01-16", "2024-01-17").select("partition", "offset", F.col("key").alias("card"), F.col("value").alias("transaction_id")),
@@ -321,6 +329,14 @@ ORACLES = {
     "column_tests": duck(" union all ".join(f"select '{n}' as test, '{'warn' if n.startswith('known') else 'error'}' as severity, count(*) as failures, count(*) = 0 as passed from ({q})" for n, q in _COLUMN_TESTS.items())),
     "keyed_quarantine": duck(f"select {_KEY} as quarantine_key, epoch_us(min(case when _source_file = 'batch_1.parquet' then timestamp '{AS_OF}' else timestamp '2024-02-15' end)) as quarantined_at from quarantine group by 1"),
     "published_run": duck(f"select *, (select min(passed) from ({_GATE})) as passed, (select min(passed) from ({_GATE})) as published from (select 'authorizations' as \"table\", count(*) as n from auths union all select 'settlements', count(*) from settlements union all select 'quarantine', count(*) from quarantine union all select 'reconciliation', count(*) from recon union all select 'features', count(*) from feats)"),
+    "interval_files": duck("select case when _ingested_at < timestamp '2024-01-20' then 'i1' else 'i3' end as interval, count(*) as n, cast(sum(cast(round(amount * 100) as bigint)) as bigint) as cents, false as empty_written from bronze group by 1"),
+    "loaded_once": duck("select event_type, count(*) as n, count(distinct transaction_id) as ids from bronze group by 1"),
+    "named_tables": duck("select recon_status, count(*) as n, cast(sum(case when is_break then 1 else 0 end) as bigint) as breaks from recon group by 1"),
+    "gate_history": duck(f"select epoch_us(timestamp '2024-02-03') as checked_at, min(passed) as success, cast(sum(case when passed then 0 else 1 end) as bigint) as failed from ({_GATE}) union all select epoch_us(timestamp '2024-02-02'), false, cast(sum(case when passed and expectation <> 'recon_row_count' then 0 else 1 end) as bigint) from ({_GATE})"),
+    "gate_latest": duck(f"select epoch_us(timestamp '2024-02-03') as checked_at, expectation, round(o, 6) as observed, passed, min(passed) over () as overall_success from ({_GATE})"),
+    "gate_described": duck(f"select expectation, round(o, 6) as observed, passed, min(passed) over () as overall_success, case expectation {' '.join(f"when '{k}' then '{v}'" for k, v in roundtrips.MEANINGS.items())} end as description from ({_GATE})"),
+    "flagged_display": duck(f"select transaction_id, substr(card_id_hash, 1, 12) as card, {_MONEY}, case when rule_velocity then 'Yes' else 'No' end as rule_velocity, case when rule_geo then 'Yes' else 'No' end as rule_geo, case when rule_amount then 'Yes' else 'No' end as rule_amount, {_FIRED} as rules_fired, coalesce(fraud_type, '-') as fraud_type from flags where {_ANY} order by event_time desc, transaction_id desc limit 50"),
+    "lenient_numbers": duck("select transaction_id, round(try_cast(coalesce(auth_code, currency) as double), 6) as code, round(try_cast(replace(substr(transaction_id, 2, 9), '_', 'x') as double), 6) as number from bronze"),
     "topic_slice": duck("""select partition, "offset", card, transaction_id from (select *, coalesce(min(case when ts >= timestamp '2024-01-16' then "offset" end) over p, max("offset") over p + 1) as lo, coalesce(min(case when ts >= timestamp '2024-01-17' then "offset" end) over p, max("offset") over p + 1) as hi
       from (select *, row_number() over (partition by partition order by number, transaction_id) - 1 as "offset" from (select card_id as card, transaction_id, cast(regexp_extract(card_id, '([0-9]+)', 1) as bigint) % 6 as partition, cast(regexp_extract(transaction_id, '([0-9]+)', 1) as bigint) as number, case when number % 7 = 0 then _ingested_at + interval 1 day else _ingested_at end as ts
         from bronze where transaction_id is not null and card_id is not null and event_type = 'AUTH')) window p as (partition by partition)) where "offset" >= lo and "offset" < hi"""),
