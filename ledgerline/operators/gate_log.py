@@ -51,9 +51,9 @@ def history(log: DataFrame, newest: int = 20) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The rows of the newest run."""
+    """The rows of the newest run, ordered by expectation."""
     last = log.agg(F.max("checked_at").alias("checked_at"))
-    return log.join(F.broadcast(last), "checked_at")
+    return log.join(F.broadcast(last), "checked_at").orderBy("expectation")
 
 
 def gated(gate: DataFrame, then) -> bool:

@@ -9,7 +9,8 @@ from ..operators.gate import count_if
 
 
 def distribution(recon: DataFrame) -> DataFrame:
-    return recon.groupBy("recon_status", "is_break", "is_matured").agg(F.count("*").alias("n"))
+    """Rows by status, the most frequent first."""
+    return recon.groupBy("recon_status", "is_break", "is_matured").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "recon_status", "is_break", "is_matured")
 
 
 def break_summary(recon: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def confusion_of(flags: DataFrame, strategies: list[str]) -> DataFrame:
 
 def daily_volume(auths: DataFrame, settlements: DataFrame) -> DataFrame:
     both = auths.select("event_time", "event_type").unionByName(settlements.select("event_time", "event_type"))
-    return both.groupBy(F.to_date("event_time").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return both.groupBy(F.to_date("event_time").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n")).orderBy("day", "event_type")
 
 
 def daily_quarantine(auths: DataFrame, settlements: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def daily_quarantine(auths: DataFrame, settlements: DataFrame, quarantine: DataF
     clean = auths.select("_ingested_at").unionByName(settlements.select("_ingested_at")).groupBy(day).agg(F.count("*").alias("c"))
     bad = quarantine.groupBy(day).agg(F.count("*").alias("b"))
     c, b = F.coalesce("c", F.lit(0)), F.coalesce("b", F.lit(0))
-    return clean.join(bad, "day", "full_outer").select("day", c.alias("clean"), b.alias("quarantined"), (b / (b + c)).alias("quarantine_rate"))
+    return clean.join(bad, "day", "full_outer").select("day", c.alias("clean"), b.alias("quarantined"), (b / (b + c)).alias("quarantine_rate")).orderBy("day")
 
 
 def latest_flagged(flags: DataFrame, n: int = 50) -> DataFrame:

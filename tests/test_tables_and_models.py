@@ -227,3 +227,16 @@ def test_an_unwritable_log_leaves_the_verdict(spark, tmp_path):
     for _ in range(2):
         assert gate_log.append_once(rows, str(tmp_path / "log"), "2024-01-01 00:00:00")
     assert gate_log.read_log(spark, str(tmp_path / "log")).count() == 1
+
+
+def test_reports_come_in_order(spark):
+    from ledgerline.plans import reports
+
+    recon = spark.createDataFrame([("A", False, True)] * 2 + [("B", True, True)] * 5 + [("C", True, False)] * 2, "recon_status string, is_break boolean, is_matured boolean").repartition(3)
+    assert [r["recon_status"] for r in reports.distribution(recon).collect()] == ["B", "A", "C"]
+    at = [datetime(2024, 1, d) for d in (3, 1, 2, 1)]
+    a, s = (spark.createDataFrame([(t, k, t) for t in at], "event_time timestamp, event_type string, _ingested_at timestamp") for k in ("AUTH", "SETTLEMENT"))
+    assert [(r["day"], r["event_type"]) for r in reports.daily_volume(a, s).collect()] == [(f"2024-01-0{d}", k) for d in (1, 2, 3) for k in ("AUTH", "SETTLEMENT")]
+    assert [r["day"] for r in reports.daily_quarantine(a, s, a).collect()] == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    log = spark.createDataFrame([(at[0], e, 1.0, True, True) for e in "cab"] + [(at[1], "z", 1.0, True, True)], gate_log.SCHEMA)
+    assert [r["expectation"] for r in gate_log.latest(log).collect()] == ["a", "b", "c"]
