@@ -121,11 +121,6 @@ def bounded_rates(rows: DataFrame, by: str, cap: int) -> Column:
     return rate
 
 
-def bounded_sample(rows: DataFrame, by: str, cap: int, seed: int, *keys: str) -> DataFrame:
-    """At most about `cap` rows for each value of `by`, chosen by a hash of the keys."""
-    return rows.where(hash_fraction(seed, *[F.col(k) for k in keys]) < bounded_rates(rows, by, cap))
-
-
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose key may be in the first column of ids: a prefilter that loses none and lets a
     few others pass, so that a join that follows shuffles little else. What is broadcast is a

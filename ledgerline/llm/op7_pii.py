@@ -9,8 +9,9 @@ one), P(x|t) = n(x, t) / n(t) * (1 - 1/k), and t discloses log2(P(x|t) / P(x)) b
 P(x) being the share of documents with x. A word with P(x|t) >= SHARE and at least BITS bits is
 removed wherever it stands in a document with x (kind `term`).
 
-An entity in one document only, or in over 1 in 2^BITS documents, can have no such word, so
-neither is counted further. All counts are aggregated before they are shuffled.
+An entity in over 1 in 2^BITS documents can have no such word and is not counted further. Nor is
+one that a single document holds, though words that stand there alone, several times, could pass:
+this is a limit of the operator. All counts are aggregated before they are shuffled.
 
 Positions come from string functions alone: splitting a text by a pattern gives what stands
 between the matches, and running sums of lengths give code point offsets.
