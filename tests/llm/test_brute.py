@@ -1,6 +1,7 @@
 """The operators held against brute force and planted cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -172,6 +173,61 @@ def test_pii_method_adds_disclosing_terms(spark):
     assert "Zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[1] == rows[1][1]
 
 
+def told_plainly(rows, entity):
+    """(row, start, end) of the words that disclose an entity, counted in plain Python over all pairs."""
+    words = [[(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)] for t in rows]
+    total, holds, where = Counter(t for w in words for t, _, _ in w), Counter(), {}
+    for i, text in enumerate(rows):
+        for x in set(re.findall(entity, text)):
+            holds[x] += 1
+            for j, (t, _, _) in enumerate(words[i]):
+                where.setdefault((x, t), []).append((i, j))
+    cuts = set()
+    for (x, t), at in where.items():
+        left = {words[i][j - 1][0] if j else None for i, j in at}
+        right = {words[i][j + 1][0] if j + 1 < len(words[i]) else None for i, j in at}
+        share = len(at) / total[t] * (1 - 1 / min(len(left), len(right)))
+        if share >= op7_pii.SHARE and math.log2(share * len(rows) / holds[x]) >= op7_pii.BITS:
+            cuts |= {(i, *words[i][j][1:]) for i, j in at}
+    return {(i, a, b) for i, a, b in cuts if not any(m.start() < b and a < m.end() for m in re.finditer(entity, rows[i]))}
+
+
+def test_pii_terms_equal_plain_counts(spark):
+    """Entities of one document and of several, a word that is part of an address too."""
+    rng = random.Random(11)
+    common = [f"{a}{b}n" for a in "bcdfghlmprst" for b in "aeiou"]
+    rows = [" ".join(rng.choice(common) for _ in range(40)) for _ in range(150)]
+    for i in (3, 40):
+        said = " ".join(f"{rng.choice(common)} Quillon {rng.choice(common)}" for _ in range(5))
+        rows[i] = f"quillon{i}@mail.org {said} Quillon quillon{i}@mail.org ask quillon"
+    rows[70] = " ".join(f"{rng.choice(common)} Tarvik {rng.choice(common)}" for _ in range(6)) + " solo@mail.org other@mail.org"
+    for i in (90, 91, 92):
+        rows[i] += f" pair@mail.org {rng.choice(common)} Ombrel {rng.choice(common)} Ombrel {rng.choice(common)}"
+    entity = r"[a-z0-9]+@mail\.org"
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {(r.doc_id, s.start, s.end) for r in op7_pii.spans(docs).collect() for s in r.pii_term}
+    want = told_plainly(rows, entity)
+    assert found == want
+    assert {rows[i][a:b] for i, a, b in want} >= {"Tarvik", "Ombrel"}
+
+
+def test_pii_redaction_equals_plain_cuts(spark):
+    """Overlapping, adjacent and far spans, over several blocks of cuts and pieces, beyond the basic plane too."""
+    rng = random.Random(12)
+    bits = ["a@b.cc", "+44 20 7946 0958", "4111 1111 1111 1111", "10.0.0.7", "+4111 1111 1111 1111", "1.2.3.4@x.yz", "😀é ", " or ", "x" * 300]
+    texts = ["".join(rng.choice(bits) + " " * rng.randrange(3) for _ in range(n)) for n in (1, 5, 30, 900)] * 2 + [None, "", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r for r in op7_pii.spans(docs).collect()}
+    out = {r.doc_id: r.text for r in op7_pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        kept, at = [], 0
+        for a, b, kind in sorted((s.start, s.end, k) for k in ("email", "ip", "card", "phone", "term") for s in spans[i][f"pii_{k}"]):
+            if a >= at:
+                kept += [text[at:a], "" if kind == "term" else f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert out[i] == (None if text is None else "".join(kept) + text[at:])
+
+
 def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, None), (61, "")]
