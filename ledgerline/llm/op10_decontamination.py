@@ -9,7 +9,9 @@ band; a band that meets the bound is kept, and an alignment confined to its diag
 more on either side verifies it.
 
 Both texts are lower-cased, and each run of white space becomes one space. Items of fewer than q
-characters are looked up as they are, without edits. The benchmark is cut into blocks of at
+characters are looked up as they are, without edits, and only as whole words: an end that is a
+character of a word must not go on in the text (`yes` is not in `eyes`), but for scripts that put no
+spaces between words. The benchmark is cut into blocks of at
 most BLOCK_CHARS characters (or one longer item); each block is broadcast on its own and held
 against all documents. Shared q-grams are counted at most PAIRS at a time, so very long and
 repetitive texts take time, not memory.
@@ -34,6 +36,8 @@ from .common import free_name, scratch, session, staged, table
 
 Q, RATE, BLOCK_CHARS, PAIRS = 8, 0.08, 1_000_000, 1 << 21
 SPACE = re.compile(r"\s+")
+#: Characters of words in scripts that divide words by spaces (without Thai to Myanmar, Khmer, kana, ideographs, Hangul).
+SPACED = r"[^\W\u0e00-\u0eff\u1000-\u109f\u1100-\u11ff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
 
 
 def normal(text: str | None) -> str:
@@ -75,6 +79,12 @@ def edits_within(item: str, text: str, low: int, high: int, most: int) -> int:
     return int(row.min())
 
 
+def whole_word(item: str) -> re.Pattern:
+    """The item where neither end goes on as the same word."""
+    before, after = (bool(re.match(SPACED, c)) for c in (item[:1], item[-1:]))
+    return re.compile((f"(?<!{SPACED})" if before else "") + re.escape(item) + (f"(?!{SPACED})" if after else ""))
+
+
 class Index:
     """The q-grams of a block of items, sorted for binary search."""
 
@@ -83,7 +93,7 @@ class Index:
         self.edits = np.array([max(0, min(int(rate * len(t)), (len(t) - q) // q)) for t in items], np.int64)
         self.need = np.array([len(t) - q + 1 - q * e for t, e in zip(items, self.edits)], np.int64)
         found = [grams(t, q) for t in items]
-        self.short = [i for i, g in enumerate(found) if not len(g)]
+        self.short = {i: whole_word(items[i]) for i, g in enumerate(found) if not len(g) and items[i]}
         codes = np.concatenate([*found, np.zeros(0, np.uint64)])
         item = np.concatenate([*[np.full(len(g), i, np.int64) for i, g in enumerate(found)], np.zeros(0, np.int64)])
         at = np.concatenate([*[np.arange(len(g), dtype=np.int64) for g in found], np.zeros(0, np.int64)])
@@ -154,7 +164,7 @@ class Index:
                 item, most = self.items[i], int(self.edits[i])
                 if item in text[max(0, low) : max(0, high + len(item))] or (most and edits_within(item, text, low, high, most) <= most):
                     found.add(i)
-        found.update(i for i in self.short if self.items[i] and self.items[i] in text)
+        found.update(i for i, word in self.short.items() if self.items[i] in text and word.search(text))
         return sorted(found)
 
 

@@ -228,6 +228,12 @@ def test_pii_redaction_equals_plain_cuts(spark):
         assert out[i] == (None if text is None else "".join(kept) + text[at:])
 
 
+def test_short_items_are_found_as_whole_words_only():
+    index = op10_decontamination.Index(["yes", "c++", "東京", "3 + 4", "été", ""])
+    held = {"Yes, indeed": [0], "eyes": [], "yesterday or yes_no": [], "say (yes)": [0], "c++ code": [1], "c++11": [1], "abc++": [], "在東京都": [2], "is 3 + 4 = 7": [3], "13 + 4": [], "cet été-là": [4], "étés": [], "": [], None: []}
+    assert {t: index.matches(t) for t in held} == held
+
+
 def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, None), (61, "")]
