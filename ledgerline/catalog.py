@@ -40,13 +40,31 @@ class Tables:
     """The lakehouse's tables over one data folder, as lazy frames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.bronze = bronze(spark, sf_dir)
+        self.of(bronze(spark, sf_dir))
+
+    def of(self, events: DataFrame) -> None:
+        self.bronze = events
         self.auths, self.settlements = silver.authorizations(self.bronze), silver.settlements(self.bronze)
         self.quarantine = silver.quarantine(self.bronze, AS_OF)
         self.recon = reconcile.reconcile(self.auths, self.settlements, AS_OF)
         self.features = velocity.card_velocity_features(self.auths)
         self.flags = velocity.rule_flags(self.features)
 
+    def keep(self, *names: str) -> None:
+        """Writes these tables once, in this order, and has those after them read what was written: for queries that
+        read a table several times, which would derive it each time."""
+        for name in names:
+            kept = stored(getattr(self, name), name)
+            if name == "bronze":
+                self.of(kept)
+            setattr(self, name, kept)
+            if name in ("auths", "settlements"):
+                self.recon = reconcile.reconcile(self.auths, self.settlements, AS_OF)
+            if name == "auths":
+                self.features = velocity.card_velocity_features(self.auths)
+            if name in ("auths", "features"):
+                self.flags = velocity.rule_flags(self.features)
+
 
 def incremental_load(t: Tables) -> DataFrame:
     """Silver after the first batch, then the rows above its watermark merged in."""
@@ -78,12 +96,36 @@ def orphans_in_quarantine(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    """All rows with scores and flags, by a model that was trained on the train split, stored, and read again."""
-    rows = stored(evaluation.split(t.features), "features")
-    path = shared_folder(rows.sparkSession, "model")
-    model.save(model.train(rows.where("split = 'train'"), "1"), path)
-    kept = model.load(rows.sparkSession, path)
-    return stored(model.scored(model.imputed(rows, kept), kept), "scores")
+    """All rows with scores and flags, by a model that was trained on the train split, stored, and read again. The features are written once."""
+    t.features = evaluation.split(t.features)
+    t.keep("features")
+    spark = t.features.sparkSession
+    path = shared_folder(spark, "model")
+    trained, scores = model.train_and_score(t.features, F.col("split") == "train", "1")
+    model.save(trained, path)
+    return model.flagged(scores, model.load(spark, path))
+
+
+def fraud_types(t: Tables) -> DataFrame:
+    return t.features.where("is_fraud = 1").select("fraud_type").distinct()
+
+
+def of_types(t: Tables, report) -> DataFrame:
+    """A report on the flagged rows by the fraud types of all authorizations, which stand in the features that `scored` keeps."""
+    flags = flagged(t)
+    return report(flags, fraud_types(t))
+
+
+def recent(t: Tables) -> DataFrame:
+    rows = sampled(t).drop("run")
+    return model.recent_flagged(rows, t.features)
+
+
+def tested(t: Tables, suite, *first) -> DataFrame:
+    """A suite over tables that are each written once, as its tests read them many times."""
+    t.keep("bronze", "auths", "settlements", "quarantine", "recon", "features")
+    history = stored(merchants.merchant_history(t.auths), "history")
+    return suite(*[getattr(t, name) for name in first], t.auths, t.settlements, t.quarantine, t.recon, t.features, history)
 
 
 def flagged(t: Tables) -> DataFrame:
@@ -176,7 +218,7 @@ SPARK = {
     "no_rows_dropped": not_dropped,
     "orphans_in_quarantine": orphans_in_quarantine,
     "incremental_empty_target": lambda t: incremental.newer(t.auths, t.auths.where("false")).select("transaction_id"),
-    "data_tests": lambda t: checks.suite(t.bronze, t.auths, t.settlements, t.quarantine, t.recon, t.features, merchants.merchant_history(t.auths)),
+    "data_tests": lambda t: tested(t, checks.suite, "bronze"),
     "fraud_rate_by_split": lambda t: evaluation.rate_by_split(evaluation.split(t.features)),
     "train_medians": lambda t: evaluation.medians(evaluation.split(t.features).where("split = 'train'")),
     "imputed_features": lambda t: evaluation.impute(t.features, evaluation.medians(evaluation.split(t.features).where("split = 'train'"))).select("transaction_id", *evaluation.NUMERIC),
@@ -185,13 +227,13 @@ SPARK = {
     "threshold_sweep": lambda t: evaluation.sweep(flagged(t)),
     "hybrid_confusion": hybrid,
     "scored_sample": lambda t: sampled(t).drop("run"),
-    "recent_flagged": lambda t: model.recent_flagged(sampled(t).drop("run"), t.features),
-    "recall_three_ways": lambda t: model.recall_three_ways(flagged(t), t.auths.where("is_fraud = 1").select("fraud_type").distinct()),
+    "recent_flagged": recent,
+    "recall_three_ways": lambda t: of_types(t, model.recall_three_ways),
     "rule_promotion": lambda t: model.promotion(t.flags, "any_rule"),
-    "column_tests": lambda t: checks.column_suite(t.auths, t.settlements, t.quarantine, t.recon, t.features, merchants.merchant_history(t.auths)),
+    "column_tests": lambda t: tested(t, checks.column_suite),
     "keyed_quarantine": keyed_quarantine,
     "published_run": published_run,
-    "model_recall": lambda t: audits.model_recall(flagged(t), t.auths.where("is_fraud = 1").select("fraud_type").distinct()),
+    "model_recall": lambda t: of_types(t, audits.model_recall),
     "settlement_drift": lambda t: audits.settlement_drift(t.auths, t.settlements),
     "speed_audit": lambda t: audits.speed_audit(t.auths),
     "defects_by_file": lambda t: audits.defects_by_file(t.quarantine),

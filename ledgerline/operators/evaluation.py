@@ -65,8 +65,10 @@ def fit(train: DataFrame, trees: int = TREES, sample: int = SAMPLE, key: str = "
     """Nodes (tree, node, feature, cut, left, right, length) of an isolation forest. A hash of the key
     and the tree picks about `sample` rows for each tree, the bound on what one task gathers."""
     n = max(1, train.count())
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
-    rows = train.select(vector(train).alias("x"), F.explode(picks).alias("tree"))
+    # Of all pairs of a row and a tree few are left, and only those carry the features.
+    every = train.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    picked = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))
+    rows = every.where(picked).select(vector(train).alias("x"), "tree")
     deep = int(np.ceil(np.log2(max(2, min(sample, n)))))
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
@@ -94,24 +96,41 @@ def fit(train: DataFrame, trees: int = TREES, sample: int = SAMPLE, key: str = "
     return rows.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, length double")
 
 
+def complete(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The tree with all leaves at its greatest depth, the children of place i at 2i + 1 and 2i + 2, so that rows walk
+    down without tests: features and cuts of the inner places, lengths of the leaves, and the depth."""
+    level, depth, levels = np.zeros(1, np.int64), 0, []
+    while (feature[level] >= 0).any():
+        inner = feature[level] >= 0
+        levels.append((np.where(inner, feature[level], 0), np.where(inner, cut[level], 0.0)))
+        # Below a leaf stand copies of it, whichever side a row takes.
+        level = np.stack([np.where(inner, left[level], level), np.where(inner, right[level], level)], 1).ravel()
+        depth += 1
+    empty = (np.zeros(0, np.int64), np.zeros(0))
+    features, cuts = (np.concatenate(parts) for parts in zip(empty, *levels))
+    return features, cuts, length[level], depth
+
+
 def score(df: DataFrame, nodes: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """df with anomaly_score, from 0 to 1, higher: more anomalous. The forest has at most trees x 4 x
     sample nodes, which bounds what is broadcast."""
     held = nodes.orderBy("tree", "node").toPandas()
-    forest = [tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "length")) for _, t in held.groupby("tree")]
+    forest = [complete(*(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))) for _, t in held.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def anomaly(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             x = np.array(batch.tolist(), np.float64).reshape(len(batch), -1)
-            total = np.zeros(len(x))
-            for feature, cut, left, right, length in shared.value:
+            total, row, values = np.zeros(len(x)), np.arange(len(x)) * (x.shape[1] if len(x) else 1), x.ravel()
+            for feature, cut, length, deep in shared.value:
                 at = np.zeros(len(x), np.int64)
-                while len(x) and (inner := feature[at] >= 0).any():
-                    k = at[inner]
-                    at[inner] = np.where(x[inner, feature[k]] <= cut[k], left[k], right[k])
-                total += length[at]
+                for _ in range(deep):
+                    right = ~(values.take(row + feature.take(at)) <= cut.take(at))
+                    at *= 2
+                    at += 1
+                    at += right
+                total += length.take(at - (2**deep - 1))
             yield pd.Series(2.0 ** (-total / max(1, len(shared.value)) / path_constant(np.array([sample]))[0]))
 
     return df.withColumn("anomaly_score", anomaly(vector(df)))

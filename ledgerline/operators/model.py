@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import stored
 from . import evaluation
+from .quantiles import exact_quantiles
 from .velocity import rule_flags
 
 NODES = ("tree", "node", "feature", "cut", "left", "right", "length")
 FEATURES = (*evaluation.NUMERIC, *evaluation.BOOLEAN)
+#: The features for which the training rows' medians stand in.
+FILLED = ("minutes_since_last_txn", "amount_avg_24h")
 #: Fraud types of which the model must find a share, and the least precision.
 FLOOR_PRECISION, FLOOR_RECALL = 0.05, {"velocity": 0.50, "geo_impossible": 0.50}
 
@@ -39,12 +42,25 @@ def sample_size(n: int, most: int = evaluation.SAMPLE) -> int:
 
 def train(rows: DataFrame, version: str, trees: int = evaluation.TREES, contamination: float = evaluation.CONTAMINATION) -> Model:
     """A model of the training rows (card features; pass a stored frame, it is read for the medians, the trees and the cutoff)."""
-    fill = evaluation.medians(rows)
-    filled = evaluation.impute(rows, fill)
-    size = sample_size(rows.count())
-    nodes = stored(evaluation.fit(filled, trees, size), "nodes")
-    cut = evaluation.cutoff(stored(evaluation.score(filled, nodes, size).select("anomaly_score"), "scores"), contamination)
-    return Model(nodes, version, FEATURES, cut, size, {c: v for c, v in fill.first().asDict().items() if v is not None})
+    return train_and_score(rows, F.lit(True), version, trees, contamination)[0]
+
+
+def train_and_score(rows: DataFrame, of: Column, version: str, trees: int = evaluation.TREES, contamination: float = evaluation.CONTAMINATION) -> tuple[Model, DataFrame]:
+    """A model of the rows where `of` holds, and all rows, imputed, with their anomaly_score (stored). Each row is scored
+    once, as the scores of the training rows give the cutoff too. Pass a stored frame."""
+    own = rows.where(of)
+    found = {c: exact_quantiles(own, c, (0.5,))[0] for c in FILLED}
+    medians = {c: v for c, v in found.items() if v is not None}
+    filled = evaluation.impute(rows, fill_of(rows.sparkSession, medians))
+    size = sample_size(own.count())
+    nodes = stored(evaluation.fit(filled.where(of), trees, size), "nodes")
+    scores = stored(evaluation.score(filled, nodes, size), "scores")
+    return Model(nodes, version, FEATURES, evaluation.cutoff(scores.where(of), contamination), size, medians), scores
+
+
+def fill_of(spark: SparkSession, medians: dict[str, float]) -> DataFrame:
+    """One row: the medians, null where there are none."""
+    return spark.createDataFrame([tuple(float(medians[c]) if c in medians else None for c in FILLED)], ", ".join(f"{c} double" for c in FILLED))
 
 
 def save(model: Model, path: str) -> None:
@@ -103,15 +119,18 @@ def rejected(df: DataFrame) -> DataFrame:
 
 def imputed(df: DataFrame, model: Model) -> DataFrame:
     """df with the medians that the model was trained with, and its other stand-ins."""
-    fill = df.sparkSession.createDataFrame([tuple(float(model.medians[c]) if c in model.medians else None for c in ("minutes_since_last_txn", "amount_avg_24h"))], "minutes_since_last_txn double, amount_avg_24h double")
-    return evaluation.impute(df, fill)
+    return evaluation.impute(df, fill_of(df.sparkSession, model.medians))
 
 
 def scored(df: DataFrame, model: Model, scored_at: Column | None = None) -> DataFrame:
     """df, batch or stream, whose rows keep the contract, with anomaly_score, model_flag, the rules' flags (on the raw
     values), combined_flag, model_version and scored_at."""
-    out = evaluation.score(df, checked(model).nodes, model.sample)
-    out = evaluation.flag(out, model.cutoff)
+    return flagged(evaluation.score(df, checked(model).nodes, model.sample), model, scored_at)
+
+
+def flagged(scores: DataFrame, model: Model, scored_at: Column | None = None) -> DataFrame:
+    """Scored rows with the columns that `scored` adds to their anomaly_score."""
+    out = evaluation.flag(scores, checked(model).cutoff)
     return out.withColumns({"model_version": F.lit(model.version), "scored_at": F.current_timestamp() if scored_at is None else scored_at})
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import catalog
 from ledgerline.operators import evaluation, gate_log, merchants, model, quantiles, velocity, velocity_cut
 from ledgerline.plans import publish
 from ledgerline.sources import topic
@@ -240,3 +241,40 @@ def test_reports_come_in_order(spark):
     assert [r["day"] for r in reports.daily_quarantine(a, s, a).collect()] == ["2024-01-01", "2024-01-02", "2024-01-03"]
     log = spark.createDataFrame([(at[0], e, 1.0, True, True) for e in "cab"] + [(at[1], "z", 1.0, True, True)], gate_log.SCHEMA)
     assert [r["expectation"] for r in gate_log.latest(log).collect()] == ["a", "b", "c"]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_walks_of_complete_trees_end_where_plain_ones_do():
+    rng = np.random.default_rng(5)
+    # A leaf at depth 1, others at 3, and a tree of one leaf.
+    feature, cut = np.array([0, -1, 1, 2, -1, -1, -1]), np.array([0.5, 0, 0.4, 0.3, 0, 0, 0])
+    left, right, length = np.array([1, -1, 3, 4, -1, -1, -1]), np.array([2, -1, 6, 5, -1, -1, -1]), np.array([0, 1.0, 0, 0, 3.0, 3.5, 2.0])
+    features, cuts, ends, deep = evaluation.complete(feature, cut, left, right, length)
+    assert deep == 3 and len(features) == 7 and len(ends) == 8
+    for x in rng.random((200, 3)):
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= cut[at] else right[at]
+        i = 0
+        for _ in range(deep):
+            i = 2 * i + 1 + (not x[features[i]] <= cuts[i])
+        assert ends[i - 7] == length[at]
+    assert evaluation.complete(feature[1:2], cut[1:2], left[1:2], right[1:2], length[1:2])[2:] == (np.array([1.0]), 0)
+
+
+def test_scored_rows_are_scored_once_and_features_derived_once(spark, monkeypatch):
+    calls, plain = [], evaluation.score
+    monkeypatch.setattr(evaluation, "score", lambda *a: (calls.append(1), plain(*a))[1])
+    out = catalog.QUERIES["recent_flagged"](spark, SMALL)
+    assert len(calls) == 1 and not [f for f in out.inputFiles() if "events.parquet" in f]
+
+
+def test_suites_read_stored_tables(spark):
+    for name in ("data_tests", "column_tests"):
+        assert not [f for f in catalog.QUERIES[name](spark, SMALL).inputFiles() if "events.parquet" in f]
+
+
+def test_features_cut_by_time_derive_authorizations_once(spark):
+    assert not [f for f in catalog.QUERIES["velocity_features_cut"](spark, SMALL).inputFiles() if "events.parquet" in f]
