@@ -190,7 +190,7 @@ SPARK = {
     "gate_described": lambda t: roundtrips.described(gate.gate(t.recon, t.features)),
     "flagged_display": lambda t: roundtrips.display(t.flags),
     "lenient_numbers": lambda t: audits.lenient_numbers(t.bronze.select("transaction_id", F.coalesce("auth_code", "currency").alias("code"), F.translate(F.substring("transaction_id", 2, 9), "_", "x").alias("number")), "code", "number"),
-    "velocity_features_cut": lambda t: velocity_cut.card_velocity_features(t.auths),
+    "velocity_features_cut": lambda t: velocity_cut.card_velocity_features(stored(t.auths, "auths")),
     "merchant_as_of_pass": lambda t: merchants.as_of_pass(t.auths, merchants.merchant_history(t.auths)).select("transaction_id", "merchant_id", "version_name"),
     "topic_slice": lambda t: topic_slice(topic_log(t), "2024-01-16", "2024-01-17").select("partition", "offset", F.col("key").alias("card"), F.col("value").alias("transaction_id")),
     "stratified_split": lambda t: quantiles.stratified_split(t.features, "is_fraud").select("transaction_id", "is_fraud", "split"),
