@@ -1,16 +1,17 @@
 """Near copies by exact Jaccard similarity of word shingles, for the corpus pipeline.
 
-A SimHash radius loses pairs: at a Jaccard similarity of 0.8 two fingerprints differ in 9.7
-of 64 bits on average, and no radius holds them all. Here no pair is lost. Let all shingles
-have one fixed order. Of two sets of similarity LEAST at least, the first n - ceil(LEAST n) + 1
+A SimHash radius alone loses pairs: at a Jaccard similarity of 0.8 two fingerprints differ in 9.7
+of 64 bits on average, and no radius holds them all. So op5's fingerprints and BK-trees give the
+first candidates, which the exact similarity verifies, and what lies beyond their radius is
+found by a prefix filter, so that no pair is lost. Let all shingles have one fixed order. Of two sets of similarity LEAST at least, the first n - ceil(LEAST n) + 1
 shingles of each (n: its size) share one, so texts are dealt by those alone. Candidates that
 pass a bound on their overlap, by bitmaps of a few bits a shingle, are verified by the exact
 similarity of the two whole sets; only their texts are fetched.
 
 The order puts shingles that are frequent in a sample last. It decides how many candidates
 there are, never which pairs are found. Links go in two passes, since a large family of near
-copies has too many pairs: first each text of a bucket, or of a share of a large one, with its
-neighbours and the least; then all pairs that are still in different components. Rows of a large
+copies has too many pairs: first the fingerprints' links and each text of a bucket, or of a share
+of a large one, with its neighbours and the least; then all pairs that are still in different components. Rows of a large
 bucket meet only those of about their own size there, in tasks that each have two shares of it.
 
 A null text is an empty one, and all texts without words are alike. Equal texts are one; texts
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_fraction, maybe_among, row_key, scratch, session, text_or_empty
 from .components import components
-from .op5_simhash import shingle_hashes
+from .op5_simhash import fingerprints, links, shingle_hashes
 
 WIDTH, LEAST, SAMPLE, FREQUENT, LISTED, SMALL, BUCKET, SHARE, SEED = 5, 0.8, 20000, 4, 200_000, 16, 1_000_000, 20_000, 17
 
@@ -66,6 +67,17 @@ def first_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch
 
 
+def fingerprint_pairs(texts: DataFrame, width: int, staged) -> DataFrame:
+    """(a, b), a < b: texts that op5's SimHash links. Each text meets the least one of its fingerprint, and the
+    least ones of two fingerprints meet where op5's BK-trees link those; all these pairs are candidates."""
+    marks = staged(fingerprints(texts.mapInPandas(first_seen, "h long, text string"), width).select("h", "fp").distinct(), "near-marks")
+    least = staged(marks.groupBy("fp").agg(F.min("h").alias("least")), "near-fingerprints")
+    same = marks.join(least, "fp").where("h > least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    name = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_h"))
+    other = links(least.select("fp")).join(name("a"), "a").join(name("b"), "b")
+    return same.unionByName(other.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")))
+
+
 def prefixes(texts: DataFrame, width: int, least: float, bucket: int) -> DataFrame:
     """(g, s, h, n, p): the first shingles g of each text h, the size of its set and g's place. A text without
     words has the one shingle 0, so that all of those meet. Texts of a shingle that more than
@@ -226,7 +238,8 @@ def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: i
         rows = staged(buckets(prefixes(texts, width, least, bucket), least), "near-buckets")
         bits = staged(bitmaps(maybe_among(texts, "h", rows.select("h")), width), "near-bitmaps").dropDuplicates(["h"])
         near = rows.select("h", F.explode(F.array("least", "next")).alias("o")).where("h <> o")
-        near = staged(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), "near-pairs")
+        near = near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"))
+        near = staged(near.unionByName(fingerprint_pairs(texts, width, staged)).distinct(), "near-pairs")
         found = staged(verified(near, texts, bits, width, least, staged), "near-links")
         roots = components(found)
         named = rows.join(roots, rows["h"] == roots["node"], "left").select("g", "h", "n", "p", F.coalesce("root", "h").alias("c"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from ledgerline.llm import similar
+from ledgerline.llm import op5_simhash, similar
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
 
@@ -71,3 +71,25 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, c), (None, None), (9, "")]
     out = kept(spark, rows)
     assert out == sorted([(None, a), (None, b), (7, c), (7, d), (9, "")], key=str)
+
+
+def test_fingerprints_of_op5_give_the_first_candidates(spark):
+    """Their components are those of op5's operator on the same shingles."""
+    rng = random.Random(5)
+    rows = []
+    for family in range(5):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(2000)]
+        rows += [" ".join([*base[:k], f"e{k}", *base[k:]]) for k in range(4)]
+    rows += rows[:3] + ["", "  ", "one"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    texts = docs.select("doc_id", similar.row_key("text").alias("h"), "text").cache()
+    with similar.scratch(spark) as staged:
+        pairs = [(r.a, r.b) for r in similar.fingerprint_pairs(texts.select("h", "text"), 5, staged).collect()]
+    root = {r.h: r.h for r in texts.collect()}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    ids = {r.doc_id: r.component_id for r in op5_simhash.near_duplicates(docs, width=5).collect()}
+    of = {r.doc_id: root[r.h] for r in texts.collect()}
+    assert all((of[i] == of[j]) == (ids[i] == ids[j]) for i in of for j in of)
+    assert pairs and all(a < b for a, b in pairs) and len(set(ids.values())) < len(rows) - 5
