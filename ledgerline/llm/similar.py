@@ -9,7 +9,9 @@ pass a bound on their overlap, by bitmaps of a few bits a shingle, are verified
 similarity of the two whole sets; only their texts are fetched.
 
 The order puts shingles that are frequent in a sample last. It decides how many candidates
-there are, never which pairs are found. Links go in two passes, since a large family of near
+there are, never which pairs are found. The sample is a fixed part of the texts, so that shingles
+of as many texts are put last however many texts there are, and buckets do not grow with the
+table until LISTED shingles are put last. Links go in two passes, since a large family of near
 copies has too many pairs: first the fingerprints' links and each text of a bucket, or of a share
 of a large one, with its neighbours and the least; then all pairs that are still in different components. Rows of a large
 bucket meet only those of about their own size there, in tasks that each have two shares of it.
@@ -34,7 +36,7 @@ from .common import hash_fraction, maybe_among, row_key, scratch, session, text_
 from .components import components
 from .op5_simhash import fingerprints, links, shingle_hashes
 
-WIDTH, LEAST, SAMPLE, FREQUENT, LISTED, SMALL, BUCKET, SHARE, SEED = 5, 0.8, 20000, 4, 200_000, 16, 1_000_000, 20_000, 17
+WIDTH, LEAST, SAMPLE, RATE, FREQUENT, LISTED, SMALL, BUCKET, SHARE, SEED = 5, 0.8, 20_000, 0.25, 4, 2_000_000, 16, 1_000_000, 20_000, 17
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -42,15 +44,16 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Shingles of at least FREQUENT texts of a sample, sorted, and how many; LISTED at most; and the sample's rate."""
-    rate = min(1.0, SAMPLE / max(1, texts.count()))
+    """Shingles of at least FREQUENT different texts of a sample (a share of RATE; SAMPLE texts at least), sorted, and
+    how many; LISTED at most; and the sample's rate."""
+    rate = min(1.0, max(RATE, SAMPLE / max(1, texts.count())))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, width) for t in batch["text"]]
             yield pd.DataFrame({"g": np.concatenate(found) if found else np.zeros(0, np.int64)})
 
-    seen = texts.where(hash_fraction(SEED, F.col("h")) < rate).select("text").mapInPandas(each, "g long").groupBy("g").count()
+    seen = texts.where(hash_fraction(SEED, F.col("h")) < rate).dropDuplicates(["h"]).select("text").mapInPandas(each, "g long").groupBy("g").count()
     top = seen.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "g").limit(LISTED).toArrow()
     g, n = top["g"].to_numpy(), top["count"].to_numpy()
     order = np.argsort(g)

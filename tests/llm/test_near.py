@@ -93,3 +93,13 @@ def test_fingerprints_of_op5_give_the_first_candidates(spark):
     of = {r.doc_id: root[r.h] for r in texts.collect()}
     assert all((of[i] == of[j]) == (ids[i] == ids[j]) for i in of for j in of)
     assert pairs and all(a < b for a, b in pairs) and len(set(ids.values())) < len(rows) - 5
+
+
+def test_frequent_shingles_come_from_a_fixed_share_of_different_texts(spark, monkeypatch):
+    """A smaller share of a larger table would let the buckets grow with it; copies make no shingle frequent."""
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    rows = [f"a b c d e {i} f g h" for i in range(100)] + ["copied words of one text here"] * 50
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").select(similar.row_key("text").alias("h"), "text")
+    g, n, rate = similar.frequent(texts, 5)
+    assert rate == similar.RATE
+    assert g.tolist() == similar.shingle_set("a b c d e", 5).tolist() and n[0] <= 100
