@@ -21,6 +21,8 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import session, table
 
-SAMPLES, KEPT, DRAWN = 128, 40_000, 64
+SAMPLES, KEPT, DRAWN = 128, 65_536, 64
 WORD = re.compile(r"\w+")
 
 
@@ -44,7 +46,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Signatures of bags; keeps the draws of up to KEPT words, then begins anew."""
+    """Signatures of bags; keeps the draws of up to KEPT words. When full it keeps those of the half that stood in most texts."""
 
     def __init__(self, samples: int = SAMPLES):
         self.samples, self.ids = samples, {}
@@ -52,6 +54,17 @@ class Sampler:
         self.b = np.zeros((KEPT, samples), np.float32)
         self.once = np.zeros((KEPT, samples), np.float32)
         self.code = np.zeros(KEPT, np.uint64)
+        self.hits = np.zeros(KEPT, np.int64)
+
+    def forget(self) -> None:
+        n = len(self.ids)
+        keep = np.sort(np.argsort(-self.hits[:n], kind="stable")[: KEPT // 2])
+        words = list(self.ids)
+        self.ids = {words[i]: k for k, i in enumerate(keep.tolist())}
+        for kept in (self.r, self.b, self.once, self.code):
+            kept[: len(keep)] = kept[keep]
+        self.hits[: len(keep)] = self.hits[keep] // 2
+        self.hits[len(keep) :] = 0
 
     def draw(self, words: list[str]) -> None:
         at = np.arange(len(self.ids), len(self.ids) + len(words))
@@ -71,33 +84,60 @@ class Sampler:
             self.r[to], self.b[to] = r, b
             self.once[to] = np.log(-np.log(u[:, 2] * u[:, 3])) + r * b - r
 
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the draws of the words stand, KEPT // 2 words at most."""
+        look = lambda: np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        at = look()
+        fresh = np.flatnonzero(at < 0)
+        if len(self.ids) + len(fresh) > KEPT:
+            self.forget()
+            at = look()
+            fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            n = len(self.ids)
+            self.draw([words[i] for i in fresh.tolist()])
+            at[fresh] = np.arange(n, n + len(fresh))
+        self.hits[at] += 1
+        return at
+
     def signature(self, text: str) -> np.ndarray:
         bag = Counter(WORD.findall(text.lower()))
         if not bag:
             return np.zeros(self.samples, np.uint16)
-        best, key = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64)
-        items = sorted(bag.items())
-        for part in (items[i : i + KEPT // 2] for i in range(0, len(items), KEPT // 2)):
-            fresh = [w for w, _ in part if w not in self.ids]
-            if len(self.ids) + len(fresh) > KEPT:
-                self.ids.clear()
-                fresh = [w for w, _ in part]
-            if fresh:
-                self.draw(fresh)
-            at = np.array([self.ids[w] for w, _ in part])
-            n = np.array([c for _, c in part], np.float32)
-            a, t = self.once.take(at, 0), np.zeros((len(at), self.samples), np.float32)
-            many = np.flatnonzero(n > 1)
+        found = self.sampled(bag, False) if len(bag) <= KEPT // 2 else None
+        best, key = self.sampled(bag, True) if found is None else found
+        return (key % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+
+    def sampled(self, bag: dict[str, int], ordered: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Of each sample the least value and the key of its word. Of equal values that of the first word in order
+        counts, so that equal bags are alike; without the order there is no result if values are equal."""
+        best, key, k = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64), np.arange(self.samples)
+        words = sorted(bag) if ordered else list(bag)
+        for part in (words[i : i + KEPT // 2] for i in range(0, len(words), KEPT // 2)):
+            at, n = self.places(part), np.fromiter(map(bag.__getitem__, part), np.float32, len(part))
+            a, many = self.once.take(at, 0), np.flatnonzero(n > 1)
+            # The last row is for words that stand once.
+            t, row = np.zeros((len(many) + 1, self.samples), np.float32), np.full(len(at), len(many))
             if len(many):
                 m = at[many]
-                t[many] = np.floor(np.log(n[many])[:, None] / (r := self.r.take(m, 0)) + self.b.take(m, 0))
-                a[many] -= r * t[many]
+                r = self.r.take(m, 0)
+                t[:-1] = np.floor(np.log(n[many])[:, None] / r + self.b.take(m, 0))
+                a[many] -= r * t[:-1]
+                row[many] = np.arange(len(many))
             low = a.argmin(0)
-            k = np.arange(self.samples)
-            better = a[low, k] < best
-            sampled = mixed(self.code[at[low]] + t[low, k].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            best, key = np.where(better, a[low, k], best), np.where(better, sampled, key)
-        return (key % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+            least = a[low, k]
+            if not ordered and np.count_nonzero(a == least) > self.samples:
+                return None
+            better = least < best
+            code = mixed(self.code[at[low]] + t[row[low], k].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            best, key = np.where(better, least, best), np.where(better, code, key)
+        return best, key
+
+
+@lru_cache(maxsize=1)
+def sampler_of(samples: int) -> Sampler:
+    """The sampler of this process, so that a worker's later tasks find the draws of its earlier ones."""
+    return Sampler(samples)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -137,7 +177,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, held = Sampler(samples), None
+        sampler, held = sampler_of(samples), None
         for batch in batches:
             out = []
             for doc_id, text, part, lent in zip(batch["doc_id"], batch["text"], batch["part"], batch["lent"]):

@@ -76,3 +76,22 @@ def test_empty_tables(spark):
     none = docs(spark).where("false")
     assert op3_mixing.mix(none).count() == 0 and op5_simhash.near_duplicates(none).count() == 0
     assert op7_pii.spans(none).count() == 0 and op8_fingerprints.fingerprints(none).count() == 0
+
+
+def test_full_sampler_keeps_frequent_words_and_all_signatures(monkeypatch):
+    texts = [f"often seen words w{i} x{i} y{i}" for i in range(60)] + ["b a c", "c b a", ""]
+    plain = [op8_fingerprints.Sampler(16).signature(t).tolist() for t in texts]
+    monkeypatch.setattr(op8_fingerprints, "KEPT", 16)
+    drawn, sampler = [], op8_fingerprints.Sampler(16)
+    draw = sampler.draw
+    monkeypatch.setattr(sampler, "draw", lambda words: (drawn.extend(words), draw(words)))
+    assert [sampler.signature(t).tolist() for t in texts] == plain
+    assert drawn.count("often") == 1 and len(sampler.ids) <= 16
+
+
+def test_equal_bags_are_alike_when_words_draw_equal_values():
+    sampler = op8_fingerprints.Sampler(16)
+    sampler.signature("a b c d")
+    sampler.once[:] = 0
+    assert sampler.signature("d c b a").tolist() == sampler.signature("a b c d").tolist()
+    assert sampler.sampled({"d": 1, "a": 1}, False) is None
