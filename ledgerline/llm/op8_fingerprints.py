@@ -36,6 +36,16 @@ SAMPLES, KEPT, DRAWN = 128, 65_536, 64
 WORD = re.compile(r"\w+")
 
 
+#: For str.translate, which is fast for ASCII: characters of no word become spaces.
+BLANKS = {c: " " for c in range(128) if not WORD.match(chr(c))}
+
+
+def words_of(text: str) -> list[str]:
+    """What WORD finds in the lower-cased text."""
+    text = text.lower()
+    return text.translate(BLANKS).split() if text.isascii() else WORD.findall(text)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x + np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -101,7 +111,7 @@ class Sampler:
         return at
 
     def signature(self, text: str) -> np.ndarray:
-        bag = Counter(WORD.findall(text.lower()))
+        bag = Counter(words_of(text))
         if not bag:
             return np.zeros(self.samples, np.uint16)
         found = self.sampled(bag, False) if len(bag) <= KEPT // 2 else None
@@ -114,7 +124,7 @@ class Sampler:
         best, key, k = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64), np.arange(self.samples)
         words = sorted(bag) if ordered else list(bag)
         for part in (words[i : i + KEPT // 2] for i in range(0, len(words), KEPT // 2)):
-            at, n = self.places(part), np.fromiter(map(bag.__getitem__, part), np.float32, len(part))
+            at, n = self.places(part), np.fromiter(map(bag.__getitem__, part) if ordered else bag.values(), np.float32, len(part))
             a, many = self.once.take(at, 0), np.flatnonzero(n > 1)
             # The last row is for words that stand once.
             t, row = np.zeros((len(many) + 1, self.samples), np.float32), np.full(len(at), len(many))

@@ -95,3 +95,9 @@ def test_equal_bags_are_alike_when_words_draw_equal_values():
     sampler.once[:] = 0
     assert sampler.signature("d c b a").tolist() == sampler.signature("a b c d").tolist()
     assert sampler.sampled({"d": 1, "a": 1}, False) is None
+
+
+def test_words_are_what_the_pattern_finds():
+    every = "".join(map(chr, range(0x30000)))
+    for text in (every, every[:128], "x".join(every[:128]), "x".join(every[::7]), "Don't  stop_1\x1cÄÖ\u0130 naïve 中文\u3000", ""):
+        assert op8_fingerprints.words_of(text) == op8_fingerprints.WORD.findall(text.lower())
