@@ -8,7 +8,6 @@ is one, so memory does not grow with its length.
 
 from __future__ import annotations
 
-import pickle
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -21,6 +20,8 @@ import numpy as np
 ORDER = 5
 PIECE = 1 << 20
 GRAM_BITS, WORD_BITS = 22, 23
+#: Slots of the arrays of a Pair, and the bytes that are inflated at once.
+SLOTS, CHUNK = (1 << GRAM_BITS, 1 << GRAM_BITS, 1 << WORD_BITS), 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.uint64(32)
 
@@ -91,15 +92,24 @@ class Pair(NamedTuple):
     unseen: float
 
 
-def packed(pair: Pair) -> bytes:
+def packed(pair: Pair) -> tuple[bytes, float]:
     """The models compressed, as they are broadcast: most slots are empty."""
-    return zlib.compress(pickle.dumps(pair), 1)
-
-
-@lru_cache(maxsize=1)
-def unpacked(held: bytes) -> Pair:
-    """Kept by a worker for as long as it is given the same models."""
-    return pickle.loads(zlib.decompress(held))
+    deflate = zlib.compressobj(1)
+    return b"".join([*(deflate.compress(x) for x in pair[:3]), deflate.flush()]), pair.unseen
+
+
+def unpacked(held: tuple[bytes, float]) -> Pair:
+    """The models of a task. Their arrays are inflated in place, so that loading takes little more than
+    what stays, and share one block, which is too large for the allocator to keep once it is let go."""
+    block, (rest, unseen) = np.empty(sum(SLOTS), np.float16), held
+    to, inflate, at = block.view(np.uint8), zlib.decompressobj(), 0
+    while at < len(to):
+        part = np.frombuffer(inflate.decompress(rest, CHUNK), np.uint8)
+        if not len(part):
+            raise ValueError("the models end early")
+        to[at : at + len(part)] = part
+        at, rest = at + len(part), inflate.unconsumed_tail
+    return Pair(*np.split(block, np.cumsum(SLOTS)[:-1]), unseen)
 
 
 NAMES = ("spelling, whole text", "most toxic spelling of a word", "toxic spellings", "words, whole text", "toxic words over 1", "toxic words over 2", "words")

@@ -230,12 +230,15 @@ def fitted(texts: DataFrame, staged):
 
 
 def score_features(rows: DataFrame, shared, name: str = "x") -> DataFrame:
-    """rows with the features of their texts by the packed models that are broadcast."""
+    """rows with the features of their texts by the packed models that are broadcast. A task that has
+    rows unpacks them once and lets them go at its end, since workers outlive their tasks."""
 
     @F.pandas_udf("array<double>")
-    def x(texts: pd.Series) -> pd.Series:
-        pair = unpacked(shared.value)
-        return texts.map(lambda t: features(t, pair))
+    def x(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pair = None
+        for texts in batches:
+            pair = pair or unpacked(shared.value)
+            yield texts.map(lambda t: features(t, pair))
 
     return rows.withColumn(name, x("text"))
 

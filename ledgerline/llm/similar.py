@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_fraction, maybe_among, row_key, scratch, session, text_or_empty
 from .components import components
-from .op5_simhash import fingerprints, links, shingle_hashes
+from .op5_simhash import fingerprint, links, shingle_hashes
 
 WIDTH, LEAST, SAMPLE, RATE, FREQUENT, LISTED, SMALL, BUCKET, SHARE, SEED = 5, 0.8, 20_000, 0.25, 4, 2_000_000, 16, 1_000_000, 20_000, 17
 
@@ -72,8 +72,15 @@ def first_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprint_pairs(texts: DataFrame, width: int, staged) -> DataFrame:
     """(a, b), a < b: texts that op5's SimHash links. Each text meets the least one of its fingerprint, and the
-    least ones of two fingerprints meet where op5's BK-trees link those; all these pairs are candidates."""
-    marks = staged(fingerprints(texts.mapInPandas(first_seen, "h long, text string"), width).select("h", "fp").distinct(), "near-marks")
+    least ones of two fingerprints meet where op5's BK-trees link those; all these pairs are candidates.
+    One Python step drops copies and takes fingerprints: a task with two such steps has a worker for
+    each, and these stay to take memory in later stages."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in first_seen(batches):
+            yield pd.DataFrame({"h": batch["h"], "fp": batch["text"].map(lambda t: fingerprint(t, width)).astype("int64")})
+
+    marks = staged(texts.mapInPandas(each, "h long, fp long").distinct(), "near-marks")
     least = staged(marks.groupBy("fp").agg(F.min("h").alias("least")), "near-fingerprints")
     same = marks.join(least, "fp").where("h > least").select(F.col("least").alias("a"), F.col("h").alias("b"))
     name = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_h"))

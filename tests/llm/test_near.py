@@ -103,3 +103,17 @@ def test_frequent_shingles_come_from_a_fixed_share_of_different_texts(spark, mon
     g, n, rate = similar.frequent(texts, 5)
     assert rate == similar.RATE
     assert g.tolist() == similar.shingle_set("a b c d e", 5).tolist() and n[0] <= 100
+
+
+def test_no_task_of_the_first_candidates_has_two_python_steps(spark):
+    """Each such step has a worker of its own, which stays."""
+    texts, steps = spark.createDataFrame([(i, f"a b c d e {i % 3}") for i in range(9)], "h long, text string"), []
+
+    def staged(df, name="step"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        for stage in plan.split("Exchange"):
+            steps.append(stage.count("MapInPandas") + stage.count("ArrowEvalPython"))
+        return df.localCheckpoint()
+
+    assert len(similar.fingerprint_pairs(texts, 5, staged).collect()) >= 2
+    assert max(steps) == 1
